@@ -15,25 +15,40 @@ packed one by one. An empty table gives no pieces. Extra columns are not read.
 
 from __future__ import annotations
 
+import functools
+import json
 import os
 import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
 CAPACITY = 4096
 END_ID = 2
 MAX_OPEN = 1024
-CACHED_CHUNKS = 300_000
+CACHED_CHUNKS = 400_000
+_PLAIN = regex.compile(r"[\x21-\x7e\u00c0-\u012f\u0131-\u0148\u014a-\u017e]*")
 PIECES = "start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, sequence_tokens long"
 
 
+def _byte_table() -> dict[int, int]:
+    """The byte-level alphabet: printable Latin-1 characters stand for themselves, other bytes for code points from 256."""
+    own = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    rest = [x for x in range(256) if x not in set(own)]
+    return {x: 256 + i for i, x in enumerate(rest)}
+
+
 class Encoder:
-    """Ids by a tokenizers file. Its pre-tokenizer never joins across white space, so a text is the sum of its chunks,
-    and most chunks are found in a bounded memo."""
+    """Ids by a tokenizers file.
+
+    Its pre-tokenizer never joins across white space, so a text is the sum of its chunks, and most chunks are found in
+    a bounded memo. A new chunk of plain Latin letters and ASCII signs is split by the pre-tokenizer's own pattern and
+    given word by word to the merge table; any other chunk goes through the whole tokenizer.
+    """
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -41,17 +56,44 @@ class Encoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.memo: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
+        self.words: dict[str, bytes] = {}
+        self.plain = self._plain_pattern(path)
+        self.bytes = _byte_table()
+
+    def _plain_pattern(self, path: str) -> regex.Pattern | None:
+        """The split pattern, if the file is of the kind that the short cut is right for."""
+        spec = json.loads(self.tokenizer.to_str())
+        norm, pre = spec.get("normalizer") or {}, spec.get("pre_tokenizer") or {}
+        kinds = [[x["type"] for x in y.get(k, [])] for y, k in ((norm, "normalizers"), (pre, "pretokenizers"))]
+        if kinds != [["NFC", "Replace", "Lowercase"], ["Split", "ByteLevel"]] or spec["model"]["type"] != "BPE":
+            return None
+        split = pre["pretokenizers"][0]
+        return regex.compile(split["pattern"]["Regex"]) if split["behavior"] == "Removed" and split["invert"] else None
+
+    def _word(self, word: str) -> bytes:
+        shown = word if word.isascii() else word.encode().decode("latin-1").translate(self.bytes)
+        out = np.array([t.id for t in self.tokenizer.model.tokenize(shown)], dtype="<u4").tobytes()
+        if len(word) <= 64:
+            self.words[word] = out
+        return out
+
+    def _chunk(self, chunk: str) -> bytes:
+        if self.plain and len(chunk) < 1024 and _PLAIN.fullmatch(chunk) and "<|" not in chunk:
+            known = self.words
+            return b"".join([known.get(w) or self._word(w) for w in self.plain.findall(chunk.lower())])
+        return np.array(self.tokenizer.encode(chunk, add_special_tokens=False).ids, dtype="<u4").tobytes()
 
     def __call__(self, text: str | None, end: int) -> np.ndarray:
         parts = (text or "").replace("\n", " ").split(" ")
-        memo = self.memo
-        if len(memo) > CACHED_CHUNKS:
-            memo.clear()
-        new = list(set(parts).difference(memo))
-        for at in range(0, len(new), 4096):
-            some = new[at : at + 4096]
-            for chunk, e in zip(some, self.tokenizer.encode_batch(some, add_special_tokens=False), strict=True):
-                memo[chunk] = np.array(e.ids, dtype="<u4").tobytes()
+        if len(self.memo) > CACHED_CHUNKS:  # two generations: what is still in use moves to the newer one
+            self.memo, self.old = {}, self.memo
+        if len(self.words) > CACHED_CHUNKS:
+            self.words.clear()
+        memo, old = self.memo, self.old
+        new = set(parts).difference(memo)
+        for chunk in new:
+            memo[chunk] = old.get(chunk) or self._chunk(chunk)
         ids = b"".join(map(memo.__getitem__, parts))
         for chunk in new:
             if len(chunk) > 64:
@@ -59,6 +101,12 @@ class Encoder:
         return np.frombuffer(ids + end.to_bytes(4, "little"), dtype="<u4")
 
 
+@functools.lru_cache(maxsize=4)
+def encoder(path: str) -> Encoder:
+    """One encoder for each worker process and file; its memo serves all tasks of the process."""
+    return Encoder(path)
+
+
 class Packer:
     """Windows of one task. A piece is (document, start, ids); finished windows are lists of pieces."""
 
@@ -144,7 +192,7 @@ def pack(docs: DataFrame, tokenizer: str, key: str = "doc_id", text: str = "text
     names = [key, *(x.split()[0] for x in PIECES.split(", "))] + ["ids"] * with_ids
 
     def part(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode, packer = Encoder(tokenizer), Packer(capacity)
+        encode, packer = encoder(tokenizer), Packer(capacity)
         sequence = TaskContext.get().partitionId() << 33
         rows: list[list] = [[] for _ in names]
         key_type = None

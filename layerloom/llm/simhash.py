@@ -86,7 +86,12 @@ def links(fps: DataFrame, distance: int = DISTANCE, bucket: int = BUCKET) -> Dat
     half = lambda shift: F.shiftrightunsigned("fp", shift).bitwiseAND(F.lit(0xFFFFFFFF))
     used = [(s, r) for s, r in _halves(distance) if r >= 0]
     table = fps.select("fp", F.explode(F.array(*[F.struct(F.lit(i).alias("seg"), half(s).alias("val")) for i, (s, _) in enumerate(used)])).alias("t")).select("t.seg", "t.val", "fp")
-    balls = F.concat(*[F.transform(F.array(*[F.lit(m).cast("long") for m in _ball(32, r)]), lambda m, i=i, s=s: F.struct(F.lit(i).alias("seg"), half(s).bitwiseXOR(m).alias("val"))) for i, (s, r) in enumerate(used)])
+
+    def ball(seg: int, shift: int, radius: int) -> Column:
+        masks = F.array(*[F.lit(m).cast("long") for m in _ball(32, radius)])
+        return F.transform(masks, lambda m: F.struct(F.lit(seg).alias("seg"), half(shift).bitwiseXOR(m).alias("val")))
+
+    balls = F.concat(*[ball(i, s, r) for i, (s, r) in enumerate(used)])
     probes = fps.select("fp", F.explode(balls).alias("t")).select("t.seg", "t.val", F.col("fp").alias("probe"))
     full = stored(table.groupBy("seg", "val").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > bucket).drop("n"), "simhash-full")
     n_full = full.count()
