@@ -8,13 +8,20 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from layerloom.llm import decontamination, packing, quality_rules, sharding, simhash, url_filter, warc
+from layerloom.llm import decontamination, packing, quality_classifier, quality_rules, sharding, simhash, suffix_dedup, url_filter, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = quality_classifier.fit(docs, _table(spark, sf_dir, "labels"))
+    scored = quality_classifier.score(docs, model)
+    return scored.select("doc_id", quality_classifier.held_out().alias("held_out"), "score", (F.col("score") >= quality_classifier.THRESHOLD).cast("int").alias("predicted"))
+
+
 def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = decontamination.contamination(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
     return found.select("doc_id", "n_words", "n_hit", "n_items", F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), "contaminated")
@@ -44,6 +51,10 @@ def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op9_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.deduplicate(_table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
+
+
 def tokenizer_path() -> str:
     """The vocabulary file of the contract; LAYERLOOM_TOKENIZER names another."""
     if found := os.environ.get("LAYERLOOM_TOKENIZER"):
@@ -63,12 +74,14 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_quality_classifier": op1_quality_classifier,
     "op2_decontamination": op2_decontamination,
     "op3_warc": op3_warc,
     "op4_url_filter": op4_url_filter,
     "op6_simhash": op6_simhash,
     "op7_quality_rules": op7_quality_rules,
     "op8_packing": op8_packing,
+    "op9_suffix_dedup": op9_suffix_dedup,
     "op10_sharding": op10_sharding,
 }
 

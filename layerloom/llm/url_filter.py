@@ -26,11 +26,13 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from layerloom.llm.bloom import Level
+from layerloom.llm.common import stored
+
 #: (host, path, action)
 Rule = tuple[str, str, str]
 RULES: tuple[Rule, ...] = (("net", "/", "block"), ("example.net", "/en/", "allow"), ("example.com", "/de/", "block"), ("org", "/fr/", "allow"))
 MAX_BYTES = 64 << 20
-_SALT = 0x9E3779B97F4A7C15
 _LOWER = ("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
 
@@ -53,49 +55,6 @@ def candidate_keys(host: Column, path: Column, lengths: list[int]) -> Column:
     return F.when(host == "", F.array().cast("array<string>")).otherwise(F.transform(F.array_sort(sized), lambda x: x["k"]))
 
 
-def _mixed(h: np.ndarray, level: int) -> np.ndarray:
-    with np.errstate(over="ignore"):
-        z = h + np.uint64((_SALT * (level + 1)) & (2**64 - 1))
-        z = (z ^ (z >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-        z = (z ^ (z >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-        return z ^ (z >> np.uint64(31))
-
-
-class Level:
-    """A Bloom filter: bits in uint64 words, k probes by double hashing of a 64-bit key hash."""
-
-    def __init__(self, level: int, items: int, rate: float):
-        self.level = level
-        self.bits = max(64, 64 * math.ceil(items * -math.log(rate) / math.log(2) ** 2 / 64))
-        self.k = max(1, round(-math.log2(rate)))
-        self.words = np.zeros(self.bits // 64, dtype=np.uint64)
-
-    def places(self, h: np.ndarray) -> np.ndarray:
-        with np.errstate(over="ignore"):
-            a, b = _mixed(h, 2 * self.level), _mixed(h, 2 * self.level + 1) | np.uint64(1)
-            return (a[:, None] + np.arange(self.k, dtype=np.uint64)[None, :] * b[:, None]) % np.uint64(self.bits)
-
-    def has(self, h: np.ndarray) -> np.ndarray:
-        p = self.places(h)
-        return ((self.words[p >> np.uint64(6)] >> (p & np.uint64(63))) & np.uint64(1)).all(axis=1)
-
-    def fill(self, keys: DataFrame) -> None:
-        """OR the bits of keys (column h) into words, each task first into its own rows, then by an aggregation."""
-        me = self
-
-        def part(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            for pdf in it:
-                p = np.unique(me.places(pdf["h"].to_numpy().view(np.uint64)))
-                word = (p >> np.uint64(6)).astype(np.int64)
-                mask = np.uint64(1) << (p & np.uint64(63))
-                if len(word):
-                    at = np.flatnonzero(np.r_[True, word[1:] != word[:-1]])
-                    yield pd.DataFrame({"w": word[at], "m": np.bitwise_or.reduceat(mask, at).view(np.int64)})
-
-        words = keys.select("h").mapInPandas(part, "w long, m long").groupBy("w").agg(F.bit_or("m").alias("m")).toPandas()
-        self.words[words["w"].to_numpy()] = words["m"].to_numpy().view(np.uint64)
-
-
 class Cascade:
     """Exact membership of the listed keys within the universe it was built over."""
 
@@ -136,7 +95,7 @@ def build_cascade(listed: DataFrame, universe: DataFrame, max_levels: int = 64)
         level = Level(len(levels), n, rate)
         level.fill(encoded)
         levels.append(level)
-        caught = other.mapInPandas(_kept_by(level), "h long").transform(_cut)
+        caught = stored(other.mapInPandas(_kept_by(level), "h long"), "cascade-level")
         encoded, other, rate = caught, encoded, 0.5
         n = caught.count()
     if n:
@@ -152,12 +111,6 @@ def _kept_by(level: Level):
     return part
 
 
-def _cut(df: DataFrame) -> DataFrame:
-    from layerloom.llm.common import stored
-
-    return stored(df, "cascade-level")
-
-
 def key_hash(key: Column) -> Column:
     return F.xxhash64(key)
 
@@ -183,7 +136,7 @@ def judge(pages: DataFrame, rules: tuple[Rule, ...] = RULES, url: str = "url", d
     spark = pages.sparkSession
     plain = pages.drop(*[c for c in ("host", "path", "rule", "verdict", "_keys") if c in pages.columns and c != url])
     keyed = with_keys(plain, rules, url)
-    universe = _cut(universe_of(keyed).select("h"))
+    universe = stored(universe_of(keyed).select("h"), "url-universe")
     cascades = {a: build_cascade(listed_keys(spark, rules, a), universe) for a in ("block", "allow")}
     if sum(c.bytes for c in cascades.values()) > max_bytes:
         return _judge_by_join(keyed, rules, default)
