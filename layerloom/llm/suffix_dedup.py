@@ -27,8 +27,9 @@ import hashlib
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from layerloom.llm.bloom import Level
@@ -243,24 +244,18 @@ def _place(content: np.ndarray, th: int, start: np.ndarray) -> np.ndarray:
         return _mix(content ^ (start.astype(np.uint64) * np.uint64(0x165667B19E3779F9)) ^ np.uint64(th & (2**64 - 1)))
 
 
-def _place_column() -> DataFrame:
-    """_place over columns content, th and start, as a pandas function."""
+def _place_column() -> Column:
+    """_place over columns content, th and start."""
 
     @F.pandas_udf("long")
-    def place(content, th, start):  # noqa: ANN001
+    def place(content: pd.Series, th: pd.Series, start: pd.Series) -> pd.Series:
         with np.errstate(over="ignore"):
             z = content.to_numpy().view(np.uint64) ^ (start.to_numpy().astype(np.uint64) * np.uint64(0x165667B19E3779F9)) ^ th.to_numpy().view(np.uint64)
-        return _pd(_mix(z).view(np.int64))
+        return pd.Series(_mix(z).view(np.int64))
 
     return place("content", "th", "start")
 
 
-def _pd(x: np.ndarray):
-    import pandas as pd
-
-    return pd.Series(x)
-
-
 def _filter(keys: DataFrame, number: int) -> object:
     """A broadcast filter of keys (h long), of FILTER_BITS at most whatever their number."""
     n = keys.count()
