@@ -11,13 +11,14 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 BUDGET, MIN_TOKENS = 8000, 1000
 
 
 def greedy_batches(rows: DataFrame, group: list[str], order: list[str], tokens: str, budget: int = BUDGET) -> DataFrame:
     """rows with batch_idx: within a group, in order, a row opens a new batch where the open one would pass the budget."""
-    schema = rows.schema.add("batch_idx", "long")
+    schema = T.StructType([*rows.schema.fields, T.StructField("batch_idx", T.LongType())])
     cols = rows.columns
 
     def fold(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
