@@ -106,26 +106,35 @@ def runs(data: bytes, length: int = LENGTH, name: int = NAME) -> tuple[np.ndarra
     return tuple(np.concatenate(c).astype(k, copy=False) if c else np.zeros(0, k) for c, k in zip(out, kinds, strict=True))
 
 
-def suffix_order(data: np.ndarray, depth: int) -> tuple[np.ndarray, dict[int, np.ndarray]]:
-    """Positions in the order of the first depth (or more) symbols of their suffixes, and the ranks at each doubling.
+#: Symbols of nine bits that are packed into the first rank.
+PACKED = 7
 
-    Symbols are non-negative and below 2**15; past the end counts as less than any symbol.
+
+def suffix_order(data: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray, int]:
+    """Positions in the order of the first ``top`` symbols of their suffixes, their ranks in it, and top: the largest
+    7 * 2**k that is at most depth (depth itself below 7). Symbols are in 0..511; past the end counts as 0.
     """
     n = len(data)
-    rank = data.astype(np.int64) + 1
-    ranks, size = {1: rank}, 1
-    order = np.argsort(rank, kind="stable")
-    while size < depth:
+    key = np.zeros(n, dtype=np.int64)
+    top = min(PACKED, depth)
+    for k in range(top):
+        key <<= np.int64(9)
+        key[: max(0, n - k)] |= data[k:]
+    order, rank = _ranked(key)
+    while top * 2 <= depth:
         nxt = np.zeros(n, dtype=np.int64)
-        nxt[: max(0, n - size)] = rank[size:]
-        pair = (rank << np.int64(32)) | nxt
-        order = np.argsort(pair, kind="stable")
-        s = pair[order]
-        rank = np.empty(n, dtype=np.int64)
-        rank[order] = np.cumsum(np.r_[1, s[1:] != s[:-1]]) if n else rank
-        size *= 2
-        ranks[size] = rank
-    return order, ranks
+        nxt[: max(0, n - top)] = rank[top:]
+        order, rank = _ranked((rank << np.int64(32)) | nxt)
+        top *= 2
+    return order, rank, top
+
+
+def _ranked(key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    order = np.argsort(key)
+    s = key[order]
+    rank = np.empty(len(key), dtype=np.int64)
+    rank[order] = np.cumsum(np.r_[True, s[1:] != s[:-1]]) if len(key) else rank
+    return order, rank
 
 
 def longest_previous_factors(data: bytes) -> np.ndarray:
@@ -133,7 +142,7 @@ def longest_previous_factors(data: bytes) -> np.ndarray:
 
     In suffix order, the best earlier match of a position is with its previous or its next smaller position.
     """
-    order, _ = suffix_order(np.frombuffer(data, dtype=np.uint8), max(1, len(data)))
+    order, _, _ = suffix_order(np.frombuffer(data, dtype=np.uint8).astype(np.int64) + 1, 2 * max(1, len(data)))
     n, out = len(data), np.zeros(len(data), dtype=np.int64)
 
     def common(i: int, j: int) -> int:
@@ -165,21 +174,22 @@ def repeated_starts(texts: list[bytes], length: int = LENGTH) -> list[np.ndarray
     begins = np.r_[0, np.cumsum(sizes)[:-1]]
     ends = begins + sizes - 1
     data[ends] = 0
-    top = 1 << (length.bit_length() - 1)
-    order, ranks = suffix_order(data, top)
+    _, rank, top = suffix_order(data, length)
     whole = np.zeros(len(data), dtype=bool)
     for b, e in zip(begins.tolist(), ends.tolist(), strict=True):
         whole[b : max(b, e - length + 1)] = True
-    # suffixes that reach length symbols before their separator, in the order of these symbols
-    second = np.zeros(len(data), dtype=np.int64)
-    second[: len(data) - (length - top)] = ranks[top][length - top :]
-    at = np.flatnonzero(whole)
-    pair = (ranks[top][at] << np.int64(32)) | second[at]
-    line = np.argsort(pair, kind="stable")  # stable: within an interval by position, the smallest first
-    s = pair[line]
+    at = np.flatnonzero(whole)  # suffixes that reach length symbols before their separator
+    key = rank[at]
+    if top < length:  # by the first top symbols and the last top of length, which overlap or meet since 2 top > length
+        key = (key << np.int64(32)) | rank[at + (length - top)]
     earlier = np.zeros(len(data), dtype=bool)
     if len(at):
-        earlier[at[line[1:][s[1:] == s[:-1]]]] = True
+        line = np.argsort(key)
+        s = key[line]
+        first = np.flatnonzero(np.r_[True, s[1:] != s[:-1]])
+        smallest = np.minimum.reduceat(at[line], first)
+        earlier[at] = True
+        earlier[smallest] = False
     return [np.flatnonzero(earlier[b:e]) for b, e in zip(begins.tolist(), ends.tolist(), strict=True)]
 
 
