@@ -606,3 +606,97 @@ def stale_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     old = p.where("page_id % 9 = 0 OR page_id % 5 <> 0").select("page_id", F.when(F.col("page_id") % 3 == 0, 1).otherwise(2).alias("old"))
     state = F.when(F.col("version").isNull(), "stale").when(F.col("old").isNull(), "new").when(F.col("old") == F.col("version"), "unchanged").otherwise("changed")
     return now.join(old, "page_id", "full_outer").select("page_id", state.alias("state"))
+
+
+# Code, routing, streams
+
+
+def _sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A small source file in each language for each part."""
+    p = table(spark, sf_dir, "part").select("p_partkey", F.initcap(F.regexp_replace("p_name", "[^a-zA-Z0-9]", "")).alias("n"), F.col("p_brand").alias("component"))
+    n = F.col("n")
+    texts = F.array(
+        F.struct(F.lit(".py").alias("e"), F.concat(F.lit("import os\nclass "), n, F.lit("(Base):\n    size: int = 1\n    def run(self, x: int) -> int:\n        return x\n    def _hide(self): pass\n")).alias("t")),
+        F.struct(F.lit(".cs").alias("e"), F.concat(F.lit("using System;\nnamespace A.B {\n  public class "), n, F.lit(" : Base {\n    private int x;\n    public int Twice(int y) { return 2 * y; }\n    public int Size { get; set; }\n  }\n}\n")).alias("t")),
+        F.struct(F.lit(".h").alias("e"), F.concat(F.lit('#include "a.h"\n#include <vector>\nnamespace q {\nclass '), n, F.lit(" {\npublic:\n  int size() const;\nprivate:\n  int hidden(int);\n};\n}\n")).alias("t")),
+        F.struct(F.lit(".ts").alias("e"), F.concat(F.lit("import {a} from './a';\nexport class "), n, F.lit(" {\n  private x = 1;\n  run(y: number): number { return y; }\n}\n")).alias("t")),
+    )
+    return p.select("component", F.explode(texts).alias("s"), "p_partkey").select("component", F.concat(F.lit("f"), F.col("p_partkey").cast("string"), F.col("s.e")).alias("rel"), F.col("s.t").alias("content"))
+
+
+_SKELETON = """n AS (SELECT p_brand AS component, p_partkey, upper(left(regexp_replace(p_name, '[^a-zA-Z0-9]', '', 'g'), 1)) || lower(substr(regexp_replace(p_name, '[^a-zA-Z0-9]', '', 'g'), 2)) AS n FROM part)
+SELECT component, 'f' || p_partkey || '.py' AS rel, 'python' AS language, 'import os' || chr(10) || 'class ' || n || '(Base):' || chr(10) || '    size: int = 1' || chr(10) || '    def run(self, x: int) -> int: ...' AS skeleton FROM n
+UNION ALL SELECT component, 'f' || p_partkey || '.cs', 'csharp', 'using System;' || chr(10) || 'namespace A.B {' || chr(10) || '    public class ' || n || ' : Base {' || chr(10) || '        public int Twice(int y);' || chr(10) || '        public int Size { get; set; }' || chr(10) || '    }' || chr(10) || '}' FROM n
+UNION ALL SELECT component, 'f' || p_partkey || '.h', 'cpp', '#include "a.h"' || chr(10) || 'namespace q {' || chr(10) || 'class ' || n || ' {' || chr(10) || '    public:' || chr(10) || '    int size() const;' || chr(10) || '};' || chr(10) || '}' FROM n
+UNION ALL SELECT component, 'f' || p_partkey || '.ts', 'typescript', 'import {a} from ''./a'';' || chr(10) || 'export class ' || n || ' {' || chr(10) || '    run(y: number): number;' || chr(10) || '}' FROM n"""
+
+
+@query(f"WITH {_SKELETON}")
+def code_skeletons(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from layerloom.functions import skeletons
+
+    return skeletons.extract(_sources(spark, sf_dir)).select("component", "rel", "language", "skeleton")
+
+
+@query("""SELECT c_custkey, CASE WHEN c_custkey % 4 = 0 THEN 'openai/m' || c_custkey WHEN c_custkey % 4 = 1 THEN 'azure/m' || c_custkey WHEN c_custkey % 4 = 2 THEN 'openai/org/m' || c_custkey ELSE 'own/m' || c_custkey END AS model, c_custkey % 4 <> 1 AS inferred FROM customer""")
+def model_route(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from layerloom.functions.routing import routed
+
+    k = F.col("c_custkey")
+    name = F.when(k % 4 == 1, F.concat(F.lit("azure/m"), k.cast("string"))).when(k % 4 == 2, F.concat(F.lit("org/m"), k.cast("string"))).otherwise(F.concat(F.lit("m"), k.cast("string")))
+    got = routed(name, F.lit("http://host"), F.when(k % 4 == 3, "own"))
+    return table(spark, sf_dir, "customer").select("c_custkey", got["model"].alias("model"), got["inferred"].alias("inferred"))
+
+
+@query("""SELECT event_id, event_type IN ('click', 'view') AS retryable, event_type = 'error' AS overflow FROM events""")
+def retryable_errors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from layerloom.functions.routing import overflows, retryable
+
+    kind = F.col("event_type")
+    message = F.when(kind == "click", "Request TIMED OUT (timeout)").when(kind == "view", "HTTP 429: rate_limit reached").when(kind == "error", "maximum context length is 4096 tokens").otherwise("bad key")
+    return table(spark, sf_dir, "events").select("event_id", retryable(message).alias("retryable"), overflows(message).alias("overflow"))
+
+
+@query("""WITH n AS (SELECT c_custkey, lower(c_mktsegment) AS base, row_number() OVER (PARTITION BY lower(c_mktsegment) ORDER BY c_custkey) AS k FROM customer)
+SELECT c_custkey, base || CASE WHEN k > 1 THEN '-' || k ELSE '' END AS name FROM n""")
+def source_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Names of sources, the second and later of one name numbered."""
+    from pyspark.sql import Window
+
+    c = table(spark, sf_dir, "customer").select("c_custkey", P.source_name(F.col("c_mktsegment")).alias("base"))
+    k = F.row_number().over(Window.partitionBy("base").orderBy("c_custkey"))
+    return c.withColumn("k", k).select("c_custkey", F.concat("base", F.when(F.col("k") > 1, F.concat(F.lit("-"), F.col("k").cast("string"))).otherwise("")).alias("name"))
+
+
+@query("""SELECT p_partkey, p_partkey % 5 IN (0, 3) AS python_private, p_partkey % 3 <> 1 AS csharp_visible, p_partkey % 2 = 0 AS member, p_partkey % 4 = 1 AS project_include FROM part""")
+def visibility(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from layerloom.functions import routing as R
+
+    k = F.col("p_partkey")
+    name = F.element_at(F.array(*map(F.lit, ("_a", "a", "__a__", "__b", "a_"))), (k % 5 + 1).cast("int"))
+    modifiers = F.when(k % 3 == 0, F.array(F.lit("public"))).when(k % 3 == 1, F.array(F.lit("private"))).otherwise(F.array(F.lit("private"), F.lit("protected")))
+    sig = F.when(k % 2 == 0, "int A::f(B::C x)").otherwise("int f(B::C x)")
+    line = F.when(k % 4 == 1, '  # include "a.h"').otherwise("#include <a.h>")
+    return table(spark, sf_dir, "part").select("p_partkey", R.python_private(name).alias("python_private"), R.csharp_visible(modifiers).alias("csharp_visible"), R.member_function(sig).alias("member"), R.project_include(line).alias("project_include"))
+
+
+@query(ORACLE_SQL["monitor_state"])
+def stream_monitor(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The state of all runs, folded from the event table as a stream."""
+    from layerloom.streaming import runs
+
+    e = runs.parquet_stream(spark, sf_dir, "events.parquet")
+    out = runs.shared_folder(spark, "runs")
+    runs.follow_runs(V.progress_of(e), f"{out}/state", f"{out}/checkpoint")
+    return spark.read.parquet(f"{out}/state")
+
+
+@query("SELECT page_id AS comp_key, md5(html) AS source_hash FROM pages")
+def incremental_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages as snapshots, merged into a metadata table batch by batch."""
+    from layerloom.streaming import runs
+
+    pages = runs.parquet_stream(spark, sf_dir, "pages.parquet").select(F.col("page_id").alias("comp_key"), F.md5("html").alias("source_hash"))
+    out = runs.shared_folder(spark, "snapshots")
+    runs.merge_snapshots(pages, f"{out}/meta", f"{out}/checkpoint", "comp_key")
+    return spark.read.parquet(f"{out}/meta/0")

@@ -89,7 +89,11 @@ n AS (SELECT *, row_number() OVER (PARTITION BY conv_id, raw ORDER BY line_start
 
 def progress(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Events of runs: one run for each user."""
-    e = table(spark, sf_dir, "events")
+    return progress_of(table(spark, sf_dir, "events"))
+
+
+def progress_of(e: DataFrame) -> DataFrame:
+    """The same of any table or stream of events."""
     kind = F.element_at(F.create_map(*[F.lit(x) for p in KINDS.items() for x in p]), F.col("event_type"))
     return e.select(
         F.col("user_id").alias("run"), F.col("event_id").alias("seq"), F.coalesce(kind, F.lit("other")).alias("event"), F.get_json_object("props", "$.k").cast("long").alias("idx"),
