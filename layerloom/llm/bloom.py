@@ -36,8 +36,17 @@ class Level:
             return (a[:, None] + np.arange(self.k, dtype=np.uint64)[None, :] * b[:, None]) % np.uint64(self.bits)
 
     def has(self, h: np.ndarray) -> np.ndarray:
-        p = self.places(h)
-        return ((self.words[p >> np.uint64(6)] >> (p & np.uint64(63))) & np.uint64(1)).all(axis=1)
+        """Probe by probe, each only for what passed those before."""
+        out = np.zeros(len(h), dtype=bool)
+        left = np.arange(len(h))
+        with np.errstate(over="ignore"):
+            a, b = _mixed(h, 2 * self.level), _mixed(h, 2 * self.level + 1) | np.uint64(1)
+            for i in range(self.k):
+                p = (a + np.uint64(i) * b) % np.uint64(self.bits)
+                ok = ((self.words[p >> np.uint64(6)] >> (p & np.uint64(63))) & np.uint64(1)).astype(bool)
+                a, b, left = a[ok], b[ok], left[ok]
+        out[left] = True
+        return out
 
     def fill(self, keys: DataFrame) -> None:
         """OR the bits of keys (column h) into words, each task first into its own rows, then by an aggregation."""
