@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -23,7 +24,7 @@ def code_files(spark: SparkSession, root: str, source: str, max_bytes: int = MAX
         F.when(F.contains(below, F.lit("/")), F.regexp_replace(below, "^[^/]*/", "")).otherwise(below).alias("rel"),
         F.col("length").alias("size"),
         F.unix_micros("modificationTime").cast("double").alias("_us"),
-        F.decode(F.col("content"), F.lit("UTF-8")).alias("content"),
+        F.decode("content", "UTF-8").alias("content"),
     ).withColumn("mtime", F.col("_us") / 1e6).drop("_us")
 
 
@@ -47,12 +48,12 @@ def file_counts(files: DataFrame) -> DataFrame:
 def json_metadata(spark: SparkSession, path: str, schema: str) -> DataFrame:
     """A metadata file as rows; missing or broken files give none."""
     try:
-        found = spark.read.schema(schema + ", _broken string").option("multiLine", "true").option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", "_broken").json(path)
-        return found.where("_broken IS NULL").drop("_broken")
-    except Exception as x:
-        if "PATH_NOT_FOUND" not in str(x):
+        text = spark.read.option("wholetext", "true").text(path)
+    except AnalysisException as x:
+        if x.getCondition() != "PATH_NOT_FOUND":
             raise
         return spark.createDataFrame([], schema)
+    return text.select(F.explode(F.from_json("value", f"array<struct<{', '.join(':'.join(f.split()) for f in schema.split(', '))}>>")).alias("r")).select("r.*")
 
 
 def _plain(root: str) -> str:
