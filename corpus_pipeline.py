@@ -24,8 +24,8 @@ def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document, that of the least id, of each group of SimHash near-duplicates."""
-    return simhash.keep_one(docs)
+    """One document, that of the least id, of each group of near-duplicates: by SimHash, or by five-word shingles at 0.8."""
+    return simhash.keep_one(docs, similarity=0.8)
 
 
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -28,6 +28,7 @@ from pyspark.sql import functions as F
 
 from layerloom.llm.common import small, stored
 from layerloom.llm.components import components
+from layerloom.llm.substring_dedup import _mix, shingles
 
 SHINGLE = 3
 DISTANCE = 2
@@ -126,8 +127,117 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", sh
     return prints.join(per_fp_named, "fp").select(key, "fp", "component_id")
 
 
-def keep_one(docs: DataFrame, key: str = "doc_id", text: str = "text", **options) -> DataFrame:
-    """docs without the rows whose component is named by another row's key."""
-    found = near_duplicates(docs, key, text, **options)
+def keep_one(docs: DataFrame, key: str = "doc_id", text: str = "text", similarity: float | None = None, **options) -> DataFrame:
+    """docs without the rows whose component is named by another row's key.
+
+    With a similarity, documents also belong together whose sets of five-word shingles reach it (similar_links)."""
+    found = near_duplicates(docs, key, text, **options).select(key, "component_id")
+    if similarity is not None:
+        bits = found.where(F.col(key) != F.col("component_id")).select(F.col(key).cast("long").alias("u"), F.col("component_id").cast("long").alias("v"))
+        named = components(bits.unionByName(similar_links(docs, key, text, similarity)))
+        found = named.select(F.col("node").alias(key), F.col("component").alias("component_id"))
     gone = stored(found.where(F.col(key) != F.col("component_id")).select(key).distinct(), "near-copies")
     return docs.join(small(gone), key, "left_anti")
+
+
+# Links by shingle similarity: a longer fingerprint, so that sixteen segments of 32 bits can meet.
+
+WORDS = 8
+MOST_BITS = 112
+PRINT = "did long, " + ", ".join(f"f{i} long" for i in range(WORDS))
+
+
+def long_print(text: str | None) -> np.ndarray:
+    """WORDS fingerprint words (uint64) over five-word shingles; short texts have all their words as one shingle."""
+    base = shingles(text)
+    if not len(base):
+        ws = (text or "").lower().split()
+        return np.zeros(WORDS, dtype=np.uint64) if not ws else np.array([xxhash.xxh64_intdigest(" ".join(ws), HASH_SEED + i) for i in range(WORDS)], dtype=np.uint64)
+    out = []
+    for i in range(WORDS):
+        counts = np.zeros(64, dtype=np.int64)
+        for at in range(0, len(base), 1 << 15):
+            with np.errstate(over="ignore"):
+                mixed = _mix(base[at : at + (1 << 15)] + np.uint64(0x9E3779B97F4A7C15 * (i + 1) & (2**64 - 1)))
+            counts += np.unpackbits(mixed.astype(">u8").view(np.uint8)).reshape(-1, 64).sum(axis=0, dtype=np.int64)
+        out.append(int.from_bytes(np.packbits(2 * counts > len(base)).tobytes(), "big"))
+    return np.array(out, dtype=np.uint64)
+
+
+def _long_prints(docs: DataFrame, key: str, text: str) -> DataFrame:
+    def part(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            made = np.array([long_print(t) for t in b.column(1).to_pylist()], dtype=np.uint64).reshape(-1, WORDS).view(np.int64)
+            yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(made[:, i]) for i in range(WORDS))], names=["did", *(f"f{i}" for i in range(WORDS))])
+
+    return docs.where(F.col(key).isNotNull()).select(F.col(key).cast("long"), text).mapInArrow(part, PRINT)
+
+
+def _segment_rows(prints: DataFrame) -> DataFrame:
+    """(seg, did): each 32-bit segment's own entry and its ball of radius one, where only bits that are off are set.
+
+    Two segments that differ in one bit meet at the entry that has it, two that differ in two opposite bits at the
+    entry that has both."""
+
+    def part(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bits = np.uint64(1) << np.arange(32, dtype=np.uint64)
+        for b in batches:
+            did = b.column(0).to_numpy()
+            f = np.stack([b.column(i + 1).to_numpy().view(np.uint64) for i in range(WORDS)], axis=1)
+            seg = np.concatenate([f >> np.uint64(32), f & np.uint64(0xFFFFFFFF)], axis=1)
+            number = np.arange(2 * WORDS, dtype=np.uint64) << np.uint64(32)
+            on = seg[:, :, None] | bits
+            at = np.nonzero(on != seg[:, :, None])
+            keys = np.concatenate([(seg | number).ravel(), on[at] | number[at[1]]])
+            ids = np.concatenate([np.repeat(did, 2 * WORDS), did[at[0]]])
+            for i in range(0, len(keys), 1 << 16):
+                yield pa.record_batch([pa.array(keys[i : i + (1 << 16)].view(np.int64)), pa.array(ids[i : i + (1 << 16)])], names=["seg", "did"])
+
+    return prints.select(*(x.split()[0] for x in PRINT.split(", "))).mapInArrow(part, "seg long, did long")
+
+
+def similar_links(docs: DataFrame, key: str = "doc_id", text: str = "text", similarity: float = 0.8) -> DataFrame:
+    """Edges (u, v) of documents whose sets of five-word shingles have a Jaccard similarity of at least similarity.
+
+    Multi-index hashing over 512 bits: of documents that meet at a segment entry, each is held against the entry's
+    first and last; complete distances thin the pairs out, and the shingle sets decide. Documents with equal long
+    fingerprints are linked as they are and go on as one. A pair within similarity s meets with a probability that
+    grows with s (README has measured figures), so this adds links to those of the short fingerprint."""
+    names = [f"f{i}" for i in range(WORDS)]
+    prints = stored(_long_prints(docs, key, text), "long-prints")
+    firsts = stored(prints.groupBy(*names).agg(F.min("did").alias("did")), "long-print-firsts")
+    equal = prints.join(firsts.withColumnRenamed("did", "v"), names).where("did <> v").select(F.col("did").alias("u"), "v").distinct()
+    rows = _segment_rows(firsts)
+    met = stored(rows.groupBy("seg").agg(F.min("did").alias("a"), F.max("did").alias("z"), F.count(F.lit(1)).alias("n")).where("n > 1 AND a < z"), "met-segments")
+    two = met.where("n = 2").select(F.col("z").alias("u"), F.col("a").alias("v"))
+    many = rows.join(small(met.where("n > 2").select("seg", "a", "z")), "seg").select("did", F.explode(F.array("a", "z")).alias("v")).where("did <> v")
+    pairs = two.unionByName(many.select(F.greatest("did", "v").alias("u"), F.least("did", "v").alias("v"))).distinct()
+    bits = sum((F.bit_count(F.col(n).bitwiseXOR(F.col(f"_{n}"))) for n in names[1:]), F.bit_count(F.col(names[0]).bitwiseXOR(F.col(f"_{names[0]}"))))
+    one, other = firsts.withColumnRenamed("did", "u"), firsts.select(F.col("did").alias("v"), *[F.col(n).alias(f"_{n}") for n in names])
+    near = stored(pairs.join(one, "u").join(other, "v").where(bits <= MOST_BITS).select("u", "v"), "near-prints")
+    ids = near.select(F.col("u").alias("did")).unionByName(near.select(F.col("v").alias("did"))).distinct()
+    needed = docs.select(F.col(key).cast("long").alias("did"), F.col(text).alias("text")).join(small(stored(ids, "near-ids")), "did", "left_semi")
+    sets = stored(_shingle_sets(needed), "shingle-sets").dropDuplicates(["did"])
+    joined = near.join(sets.withColumnRenamed("did", "u").withColumnRenamed("s", "su"), "u").join(sets.withColumnRenamed("did", "v").withColumnRenamed("s", "sv"), "v")
+    return stored(equal.unionByName(_similar(joined, similarity)), "similar-links")
+
+
+def _shingle_sets(texts: DataFrame) -> DataFrame:
+    def part(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            yield pa.record_batch([b.column(0), pa.array([np.unique(shingles(t).astype(np.uint32)).tobytes() for t in b.column(1).to_pylist()], pa.binary())], names=["did", "s"])
+
+    return texts.select("did", "text").mapInArrow(part, "did long, s binary")
+
+
+def _similar(pairs: DataFrame, similarity: float) -> DataFrame:
+    def part(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            keep = []
+            for x, y in zip(b.column(2).to_pylist(), b.column(3).to_pylist(), strict=True):
+                s, t = np.frombuffer(x, np.uint32), np.frombuffer(y, np.uint32)
+                both = len(np.intersect1d(s, t, assume_unique=True))
+                keep.append(both > 0 and both >= similarity * (len(s) + len(t) - both))
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1)], names=["u", "v"]).filter(pa.array(keep, pa.bool_()))
+
+    return pairs.select("u", "v", "su", "sv").mapInArrow(part, "u long, v long")

@@ -38,7 +38,8 @@ from layerloom.llm.common import release, small, stored
 LENGTH = 100
 NAME = 32
 HOT = 4096
-BLOCK = 1 << 20
+BLOCK = 1 << 18
+SORTED = 1 << 19
 FILTER_BITS = 1 << 27
 _BASE = 0x9E3779B97F4A7C15
 
@@ -85,6 +86,7 @@ def _blocks(data: bytes, length: int) -> Iterator[tuple[int, bytes]]:
 def runs(data: bytes, length: int = LENGTH, name: int = NAME) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """(name, content hash, start, number of windows) of the runs of a document, as uint64, uint64, int64, int64."""
     out: list[list[np.ndarray]] = [[], [], [], []]
+    name = min(name, (length + 2) // 3)
     width = length - name + 1
     for at, block in _blocks(data, length):
         h = Hashes(block)
@@ -298,7 +300,7 @@ def _by_suffix_array(rows: DataFrame, length: int) -> DataFrame:
             did_type = b.schema.field("did").type
             cols = [b.column(c).to_pylist() for c in ("did", "th", "start", "bytes", "name")]
             for row in zip(*cols, strict=True):
-                if size > BLOCK and row[4] != last:
+                if size > SORTED and row[4] != last:
                     yield give()
                     held.clear()
                     size = 0

@@ -15,6 +15,8 @@ DEFAULTS = {
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.session.timeZone": "UTC",
 }
+#: Rows of an Arrow batch where the session leaves that open: texts are long, and a worker holds a batch several times.
+ARROW_ROWS = ("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
 _shipped: set[str] = set()
 
 
@@ -27,6 +29,8 @@ def session(master: str = "local[8]", **conf: str) -> SparkSession:
 
 def ship(spark: SparkSession) -> SparkSession:
     """Send this package to the executors once for each application, so that they need no copy of the repository."""
+    if spark.conf.get(ARROW_ROWS[0], None) is None:
+        spark.conf.set(*ARROW_ROWS)
     app = spark.sparkContext.applicationId
     if app not in _shipped:
         top = Path(__file__).resolve().parent
