@@ -207,7 +207,8 @@ def similar_links(docs: DataFrame, key: str = "doc_id", text: str = "text", simi
     prints = stored(_long_prints(docs, key, text), "long-prints")
     firsts = stored(prints.groupBy(*names).agg(F.min("did").alias("did")), "long-print-firsts")
     equal = prints.join(firsts.withColumnRenamed("did", "v"), names).where("did <> v").select(F.col("did").alias("u"), "v").distinct()
-    rows = _segment_rows(firsts)
+    spread = max(1, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))  # a row becomes some 270 entries
+    rows = _segment_rows(firsts.repartition(spread))
     met = stored(rows.groupBy("seg").agg(F.min("did").alias("a"), F.max("did").alias("z"), F.count(F.lit(1)).alias("n")).where("n > 1 AND a < z"), "met-segments")
     two = met.where("n = 2").select(F.col("z").alias("u"), F.col("a").alias("v"))
     many = rows.join(small(met.where("n > 2").select("seg", "a", "z")), "seg").select("did", F.explode(F.array("a", "z")).alias("v")).where("did <> v")
