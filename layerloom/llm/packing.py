@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 CAPACITY = 4096
 END_ID = 2
 MAX_OPEN = 1024
-CACHED_CHUNKS = 150_000
+CACHED_CHUNKS = 250_000
 _PLAIN = regex.compile(r"[\x21-\x7e\u00c0-\u012f\u0131-\u0148\u014a-\u017e]*")
 PIECES = "start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, sequence_tokens long"
 
