@@ -133,8 +133,8 @@ def keep_one(docs: DataFrame, key: str = "doc_id", text: str = "text", similarit
     With a similarity, documents also belong together whose sets of five-word shingles reach it (similar_links)."""
     found = near_duplicates(docs, key, text, **options).select(key, "component_id")
     if similarity is not None:
-        bits = found.where(F.col(key) != F.col("component_id")).select(F.col(key).cast("long").alias("u"), F.col("component_id").cast("long").alias("v"))
-        named = components(bits.unionByName(similar_links(docs, key, text, similarity)))
+        bits = stored(found.where(F.col(key) != F.col("component_id")).select(F.col(key).cast("long").alias("u"), F.col("component_id").cast("long").alias("v")), "fingerprint-links")
+        named = components(bits.unionByName(similar_links(docs, key, text, similarity, bits)))
         found = named.select(F.col("node").alias(key), F.col("component").alias("component_id"))
     gone = stored(found.where(F.col(key) != F.col("component_id")).select(key).distinct(), "near-copies")
     return docs.join(small(gone), key, "left_anti")
@@ -173,8 +173,14 @@ def _long_prints(docs: DataFrame, key: str, text: str) -> DataFrame:
     return docs.where(F.col(key).isNotNull()).select(F.col(key).cast("long"), text).mapInArrow(part, PRINT)
 
 
+def _whole_segments(prints: DataFrame) -> DataFrame:
+    """(seg, did): the 32-bit segments as they are."""
+    halves = [F.shiftleft(F.lit(2 * i + j).cast("long"), 32).bitwiseOR(F.shiftrightunsigned(F.col(f"f{i}"), 32 * (1 - j)).bitwiseAND(F.lit(0xFFFFFFFF))) for i in range(WORDS) for j in (0, 1)]
+    return prints.select(F.explode(F.array(*halves)).alias("seg"), "did")
+
+
 def _segment_rows(prints: DataFrame) -> DataFrame:
-    """(seg, did): each 32-bit segment's own entry and its ball of radius one, where only bits that are off are set.
+    """(seg, did, comp): each 32-bit segment's own entry and its ball of radius one, where only bits that are off are set.
 
     Two segments that differ in one bit meet at the entry that has it, two that differ in two opposite bits at the
     entry that has both."""
@@ -182,45 +188,67 @@ def _segment_rows(prints: DataFrame) -> DataFrame:
     def part(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bits = np.uint64(1) << np.arange(32, dtype=np.uint64)
         for b in batches:
-            did = b.column(0).to_numpy()
-            f = np.stack([b.column(i + 1).to_numpy().view(np.uint64) for i in range(WORDS)], axis=1)
+            did, comp = b.column("did").to_numpy(), b.column("comp").to_numpy()
+            f = np.stack([b.column(f"f{i}").to_numpy().view(np.uint64) for i in range(WORDS)], axis=1)
             seg = np.concatenate([f >> np.uint64(32), f & np.uint64(0xFFFFFFFF)], axis=1)
             number = np.arange(2 * WORDS, dtype=np.uint64) << np.uint64(32)
             on = seg[:, :, None] | bits
             at = np.nonzero(on != seg[:, :, None])
             keys = np.concatenate([(seg | number).ravel(), on[at] | number[at[1]]])
-            ids = np.concatenate([np.repeat(did, 2 * WORDS), did[at[0]]])
+            row = np.concatenate([np.repeat(np.arange(len(did)), 2 * WORDS), at[0]])
             for i in range(0, len(keys), 1 << 16):
-                yield pa.record_batch([pa.array(keys[i : i + (1 << 16)].view(np.int64)), pa.array(ids[i : i + (1 << 16)])], names=["seg", "did"])
+                r = row[i : i + (1 << 16)]
+                yield pa.record_batch([pa.array(keys[i : i + (1 << 16)].view(np.int64)), pa.array(did[r]), pa.array(comp[r])], names=["seg", "did", "comp"])
 
-    return prints.select(*(x.split()[0] for x in PRINT.split(", "))).mapInArrow(part, "seg long, did long")
+    return prints.select("comp", *(x.split()[0] for x in PRINT.split(", "))).mapInArrow(part, "seg long, did long, comp long")
 
 
-def similar_links(docs: DataFrame, key: str = "doc_id", text: str = "text", similarity: float = 0.8) -> DataFrame:
-    """Edges (u, v) of documents whose sets of five-word shingles have a Jaccard similarity of at least similarity.
+def similar_links(docs: DataFrame, key: str = "doc_id", text: str = "text", similarity: float = 0.8, known: DataFrame | None = None) -> DataFrame:
+    """Edges (u, v) that link documents whose sets of five-word shingles have a Jaccard similarity of at least similarity.
 
-    Multi-index hashing over 512 bits: of documents that meet at a segment entry, each is held against the entry's
-    first and last; complete distances thin the pairs out, and the shingle sets decide. Documents with equal long
-    fingerprints are linked as they are and go on as one. A pair within similarity s meets with a probability that
-    grows with s (README has measured figures), so this adds links to those of the short fingerprint."""
+    Multi-index hashing over 512 bits: documents that meet at a segment entry are candidates, complete distances thin
+    them out, and the shingle sets decide. Documents with equal long fingerprints are linked as they are and go on as
+    one. Whole segments come first, where each document is held against an entry's first. What these edges and the
+    known ones (u, v) connect is one component, and at the entries of the balls only documents of different components
+    are held against each other: each against the entry's first and last, unless it is connected with it. So a large group of
+    near copies costs a few rows a document. A pair within similarity s meets with a probability that grows with s
+    (README has measured figures), so this adds links to those of the short fingerprint."""
     names = [f"f{i}" for i in range(WORDS)]
     prints = stored(_long_prints(docs, key, text), "long-prints")
     firsts = stored(prints.groupBy(*names).agg(F.min("did").alias("did")), "long-print-firsts")
     equal = prints.join(firsts.withColumnRenamed("did", "v"), names).where("did <> v").select(F.col("did").alias("u"), "v").distinct()
+    entries = _whole_segments(firsts)
+    met = entries.groupBy("seg").agg(F.min("did").alias("v"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
+    whole = entries.join(met, "seg").where("did <> v").select(F.col("did").alias("u"), "v").distinct()
+    one = _similar_pairs(whole, firsts, docs, key, text, similarity)
+    links_ = stored(one.unionByName(equal), "whole-segment-links")
+    named = components(links_ if known is None else links_.unionByName(known.select("u", "v")))
     spread = max(1, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))  # a row becomes some 270 entries
-    rows = _segment_rows(firsts.repartition(spread))
-    met = stored(rows.groupBy("seg").agg(F.min("did").alias("a"), F.max("did").alias("z"), F.count(F.lit(1)).alias("n")).where("n > 1 AND a < z"), "met-segments")
-    two = met.where("n = 2").select(F.col("z").alias("u"), F.col("a").alias("v"))
-    many = rows.join(small(met.where("n > 2").select("seg", "a", "z")), "seg").select("did", F.explode(F.array("a", "z")).alias("v")).where("did <> v")
-    pairs = two.unionByName(many.select(F.greatest("did", "v").alias("u"), F.least("did", "v").alias("v"))).distinct()
+    labelled = firsts.join(named, F.col("did") == F.col("node"), "left").select("did", F.coalesce("component", "did").alias("comp"), *names)
+    rows = _segment_rows(stored(labelled, "labelled-prints").repartition(spread))
+    ends = rows.groupBy("seg").agg(
+        F.min("did").alias("a"), F.min_by("comp", "did").alias("ca"), F.max("did").alias("z"), F.max_by("comp", "did").alias("cz"),
+        F.min("comp").alias("least"), F.max("comp").alias("most"), F.count(F.lit(1)).alias("n"),
+    ).where("n > 1 AND least < most")
+    ends = stored(ends.drop("least", "most"), "met-segments")
+    two = ends.where("n = 2").select(F.col("z").alias("did"), F.col("a").alias("v"))
+    held = rows.join(small(ends.where("n > 2").drop("n")), "seg")
+    sides = F.array(F.struct(F.col("a").alias("v"), F.col("ca").alias("c")), F.struct(F.col("z").alias("v"), F.col("cz").alias("c")))
+    many = held.select("did", "comp", F.explode(sides).alias("e")).where("comp <> e.c").select("did", F.col("e.v").alias("v"))
+    across = two.unionByName(many).select(F.greatest("did", "v").alias("u"), F.least("did", "v").alias("v")).distinct()
+    return stored(links_.unionByName(_similar_pairs(across, firsts, docs, key, text, similarity)), "similar-links")
+
+
+def _similar_pairs(pairs: DataFrame, prints: DataFrame, docs: DataFrame, key: str, text: str, similarity: float) -> DataFrame:
+    """The pairs (u, v) whose prints are near and whose shingle sets reach the similarity."""
+    names = [f"f{i}" for i in range(WORDS)]
     bits = sum((F.bit_count(F.col(n).bitwiseXOR(F.col(f"_{n}"))) for n in names[1:]), F.bit_count(F.col(names[0]).bitwiseXOR(F.col(f"_{names[0]}"))))
-    one, other = firsts.withColumnRenamed("did", "u"), firsts.select(F.col("did").alias("v"), *[F.col(n).alias(f"_{n}") for n in names])
-    near = stored(pairs.join(one, "u").join(other, "v").where(bits <= MOST_BITS).select("u", "v"), "near-prints")
+    mine, theirs = prints.withColumnRenamed("did", "u"), prints.select(F.col("did").alias("v"), *[F.col(n).alias(f"_{n}") for n in names])
+    near = stored(pairs.join(mine, "u").join(theirs, "v").where(bits <= MOST_BITS).select("u", "v"), "near-prints")
     ids = near.select(F.col("u").alias("did")).unionByName(near.select(F.col("v").alias("did"))).distinct()
     needed = docs.select(F.col(key).cast("long").alias("did"), F.col(text).alias("text")).join(small(stored(ids, "near-ids")), "did", "left_semi")
     sets = stored(_shingle_sets(needed), "shingle-sets").dropDuplicates(["did"])
-    joined = near.join(sets.withColumnRenamed("did", "u").withColumnRenamed("s", "su"), "u").join(sets.withColumnRenamed("did", "v").withColumnRenamed("s", "sv"), "v")
-    return stored(equal.unionByName(_similar(joined, similarity)), "similar-links")
+    return _similar(near.join(sets.withColumnRenamed("did", "u").withColumnRenamed("s", "su"), "u").join(sets.withColumnRenamed("did", "v").withColumnRenamed("s", "sv"), "v"), similarity)
 
 
 def _shingle_sets(texts: DataFrame) -> DataFrame:
