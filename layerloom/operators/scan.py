@@ -38,6 +38,21 @@ def component_of(files: DataFrame) -> DataFrame:
     return joined.withColumn("component", F.coalesce(top, F.when(F.col("_deep"), F.concat("package", F.lit("._root"))).otherwise(F.col("package")))).drop("_deep")
 
 
+def document_component_of(files: DataFrame) -> DataFrame:
+    """files with component, for documents: each directory's direct files, named by the directory.
+
+    Direct files of a package are '<package>._root', those of the whole tree '_root'. rel becomes the file's name."""
+    name = F.when(F.col("package") == "_root", "_root").when(F.col("dir") == "", F.concat("package", F.lit("._root"))).otherwise(F.col("dir"))
+    return with_names(files).withColumn("component", name).withColumn("rel", F.col("name"))
+
+
+def directories(files: DataFrame) -> DataFrame:
+    """(source, package, dir, depth): every directory above a file, below no skipped one."""
+    parts = F.filter(F.split(P.parent(F.col("rel")), "/"), lambda x: x != "")
+    whole = files.where(~F.exists(parts, P.skipped)).select("source", "package", parts.alias("p")).where(F.size("p") > 0)
+    return whole.select("source", "package", F.explode(F.transform(F.sequence(F.lit(1), F.size("p")), lambda n: F.struct(F.array_join(F.slice("p", 1, n), "/").alias("dir"), n.alias("depth")))).alias("d")).select("source", "package", "d.*").distinct()
+
+
 def component_stats(files: DataFrame) -> DataFrame:
     """Files, physical lines and bytes of each component."""
     return files.groupBy("source", "package", "component").agg(

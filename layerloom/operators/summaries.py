@@ -21,6 +21,9 @@ def _joined(order: Column, text: Column, between: str = "\n\n") -> Column:
     return F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(order.alias("o"), text.alias("t")))), lambda x: x["t"]), between)
 
 
+joined = _joined
+
+
 def batch_contents(batches: DataFrame, entries: DataFrame, doc: bool = False) -> DataFrame:
     """(component, batch_idx, content): a batch's entries (entry_keys, in that order; missing ones left out) under separators."""
     keyed = batches.select("component", "batch_idx", F.posexplode("entry_keys").alias("pos", "entry_key"))
