@@ -30,3 +30,18 @@ def test_passage_of_frequent_lines(spark):
             want[first + j] = first + 50
     got = classes(spark, rows)
     assert got == {d: want.get(d, d) for d, _ in rows}
+
+
+def test_passage_among_phrases(spark):
+    """Passages with phrases around them that stand elsewhere in the other document, at any place of a text."""
+    rng, rows, want = random.Random(2), [], {}
+    for i in range(40):
+        before, after, passage = words(rng, 6), words(rng, 6), words(rng, 50)
+        copy = list(passage)
+        if i % 2:
+            copy[25] = "other"
+        rows.append((2 * i, text(words(rng, 30), before, words(rng, 70), passage, words(rng, 70), after, words(rng, 40))))
+        rows.append((2 * i + 1, text(words(rng, rng.randrange(40, 100)), before, copy, after, words(rng, 60))))
+        want |= {2 * i: 2 * i, 2 * i + 1: 2 * i}
+    got = classes(spark, rows)
+    assert got == want
