@@ -17,6 +17,7 @@ in the component of its fingerprint, and counts only if no other id does. Extra
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from itertools import combinations
 
@@ -28,7 +29,7 @@ from pyspark.sql import functions as F
 
 from layerloom.llm.common import small, stored
 from layerloom.llm.components import components
-from layerloom.llm.substring_dedup import _mix, shingles
+from layerloom.llm.substring_dedup import shingles
 
 SHINGLE = 3
 DISTANCE = 2
@@ -140,133 +141,103 @@ def keep_one(docs: DataFrame, key: str = "doc_id", text: str = "text", similarit
     return docs.join(small(gone), key, "left_anti")
 
 
-# Links by shingle similarity: a longer fingerprint, so that sixteen segments of 32 bits can meet.
+# Links by shingle similarity: prefix filtering over the shingle sets, which misses no pair.
 
-WORDS = 8
-MOST_BITS = 112
-PRINT = "did long, " + ", ".join(f"f{i} long" for i in range(WORDS))
+SAMPLE_DOCS = 2000
+BLOCK = 256
 
 
-def long_print(text: str | None) -> np.ndarray:
-    """WORDS fingerprint words (uint64) over five-word shingles; short texts have all their words as one shingle."""
+def shingle_set(text: str | None) -> np.ndarray:
+    """The distinct hashes (uint64) of five-word shingles, sorted; a shorter text is one shingle of all its words."""
     base = shingles(text)
-    if not len(base):
-        ws = (text or "").lower().split()
-        return np.zeros(WORDS, dtype=np.uint64) if not ws else np.array([xxhash.xxh64_intdigest(" ".join(ws), HASH_SEED + i) for i in range(WORDS)], dtype=np.uint64)
-    out = []
-    for i in range(WORDS):
-        counts = np.zeros(64, dtype=np.int64)
-        for at in range(0, len(base), 1 << 15):
-            with np.errstate(over="ignore"):
-                mixed = _mix(base[at : at + (1 << 15)] + np.uint64(0x9E3779B97F4A7C15 * (i + 1) & (2**64 - 1)))
-            counts += np.unpackbits(mixed.astype(">u8").view(np.uint8)).reshape(-1, 64).sum(axis=0, dtype=np.int64)
-        out.append(int.from_bytes(np.packbits(2 * counts > len(base)).tobytes(), "big"))
-    return np.array(out, dtype=np.uint64)
-
-
-def _long_prints(docs: DataFrame, key: str, text: str) -> DataFrame:
-    def part(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            made = np.array([long_print(t) for t in b.column(1).to_pylist()], dtype=np.uint64).reshape(-1, WORDS).view(np.int64)
-            yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(made[:, i]) for i in range(WORDS))], names=["did", *(f"f{i}" for i in range(WORDS))])
-
-    return docs.where(F.col(key).isNotNull()).select(F.col(key).cast("long"), text).mapInArrow(part, PRINT)
+    if len(base):
+        return np.unique(base)
+    return np.array([xxhash.xxh64_intdigest(" ".join((text or "").lower().split()), HASH_SEED)], dtype=np.uint64)
 
 
-def _whole_segments(prints: DataFrame) -> DataFrame:
-    """(seg, did): the 32-bit segments as they are."""
-    halves = [F.shiftleft(F.lit(2 * i + j).cast("long"), 32).bitwiseOR(F.shiftrightunsigned(F.col(f"f{i}"), 32 * (1 - j)).bitwiseAND(F.lit(0xFFFFFFFF))) for i in range(WORDS) for j in (0, 1)]
-    return prints.select(F.explode(F.array(*halves)).alias("seg"), "did")
+def prefix(found: np.ndarray, often: np.ndarray, similarity: float) -> np.ndarray:
+    """The first shingles of a set in an order of all shingles, those that are ``often`` last: sets that reach the similarity
+    share one of them. A partner has at least similarity * n of the n, so it lacks at most the others."""
+    rank = np.searchsorted(often, found)
+    late = often[np.minimum(rank, len(often) - 1)] == found if len(often) else np.zeros(len(found), dtype=bool)
+    order = np.concatenate([found[~late], found[late]])
+    return order[: len(found) - math.ceil(similarity * len(found) - 1e-9) + 1]
 
 
-def _segment_rows(prints: DataFrame) -> DataFrame:
-    """(seg, did, comp): each 32-bit segment's own entry and its ball of radius one, where only bits that are off are set.
-
-    Two segments that differ in one bit meet at the entry that has it, two that differ in two opposite bits at the
-    entry that has both."""
+def _shingle_sets(docs: DataFrame, key: str, text: str) -> DataFrame:
+    """(did, n, h, s): each document's shingle set, with a hash of it."""
 
     def part(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bits = np.uint64(1) << np.arange(32, dtype=np.uint64)
         for b in batches:
-            did, comp = b.column("did").to_numpy(), b.column("comp").to_numpy()
-            f = np.stack([b.column(f"f{i}").to_numpy().view(np.uint64) for i in range(WORDS)], axis=1)
-            seg = np.concatenate([f >> np.uint64(32), f & np.uint64(0xFFFFFFFF)], axis=1)
-            number = np.arange(2 * WORDS, dtype=np.uint64) << np.uint64(32)
-            on = seg[:, :, None] | bits
-            at = np.nonzero(on != seg[:, :, None])
-            keys = np.concatenate([(seg | number).ravel(), on[at] | number[at[1]]])
-            row = np.concatenate([np.repeat(np.arange(len(did)), 2 * WORDS), at[0]])
-            for i in range(0, len(keys), 1 << 16):
-                r = row[i : i + (1 << 16)]
-                yield pa.record_batch([pa.array(keys[i : i + (1 << 16)].view(np.int64)), pa.array(did[r]), pa.array(comp[r])], names=["seg", "did", "comp"])
+            sets = [shingle_set(t) for t in b.column(1).to_pylist()]
+            data = [x.tobytes() for x in sets]
+            h = np.array([xxhash.xxh64_intdigest(x, HASH_SEED) for x in data], dtype=np.uint64).view(np.int64)
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([len(x) for x in sets], pa.int32()), pa.array(h), pa.array(data, pa.binary())], names=["did", "n", "h", "s"])
 
-    return prints.select("comp", *(x.split()[0] for x in PRINT.split(", "))).mapInArrow(part, "seg long, did long, comp long")
+    return docs.where(F.col(key).isNotNull()).select(F.col(key).cast("long"), text).mapInArrow(part, "did long, n int, h long, s binary")
 
 
-def similar_links(docs: DataFrame, key: str = "doc_id", text: str = "text", similarity: float = 0.8, known: DataFrame | None = None) -> DataFrame:
-    """Edges (u, v) that link documents whose sets of five-word shingles have a Jaccard similarity of at least similarity.
-
-    Multi-index hashing over 512 bits: documents that meet at a segment entry are candidates, complete distances thin
-    them out, and the shingle sets decide. Documents with equal long fingerprints are linked as they are and go on as
-    one. Whole segments come first, where each document is held against an entry's first. What these edges and the
-    known ones (u, v) connect is one component, and at the entries of the balls only documents of different components
-    are held against each other: each against the entry's first and last, unless it is connected with it. So a large group of
-    near copies costs a few rows a document. A pair within similarity s meets with a probability that grows with s
-    (README has measured figures), so this adds links to those of the short fingerprint."""
-    names = [f"f{i}" for i in range(WORDS)]
-    prints = stored(_long_prints(docs, key, text), "long-prints")
-    firsts = stored(prints.groupBy(*names).agg(F.min("did").alias("did")), "long-print-firsts")
-    equal = prints.join(firsts.withColumnRenamed("did", "v"), names).where("did <> v").select(F.col("did").alias("u"), "v").distinct()
-    entries = _whole_segments(firsts)
-    met = entries.groupBy("seg").agg(F.min("did").alias("v"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
-    whole = entries.join(met, "seg").where("did <> v").select(F.col("did").alias("u"), "v").distinct()
-    one = _similar_pairs(whole, firsts, docs, key, text, similarity)
-    links_ = stored(one.unionByName(equal), "whole-segment-links")
-    named = components(links_ if known is None else links_.unionByName(known.select("u", "v")))
-    spread = max(1, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))  # a row becomes some 270 entries
-    labelled = firsts.join(named, F.col("did") == F.col("node"), "left").select("did", F.coalesce("component", "did").alias("comp"), *names)
-    rows = _segment_rows(stored(labelled, "labelled-prints").repartition(spread))
-    ends = rows.groupBy("seg").agg(
-        F.min("did").alias("a"), F.min_by("comp", "did").alias("ca"), F.max("did").alias("z"), F.max_by("comp", "did").alias("cz"),
-        F.min("comp").alias("least"), F.max("comp").alias("most"), F.count(F.lit(1)).alias("n"),
-    ).where("n > 1 AND least < most")
-    ends = stored(ends.drop("least", "most"), "met-segments")
-    two = ends.where("n = 2").select(F.col("z").alias("did"), F.col("a").alias("v"))
-    held = rows.join(small(ends.where("n > 2").drop("n")), "seg")
-    sides = F.array(F.struct(F.col("a").alias("v"), F.col("ca").alias("c")), F.struct(F.col("z").alias("v"), F.col("cz").alias("c")))
-    many = held.select("did", "comp", F.explode(sides).alias("e")).where("comp <> e.c").select("did", F.col("e.v").alias("v"))
-    across = two.unionByName(many).select(F.greatest("did", "v").alias("u"), F.least("did", "v").alias("v")).distinct()
-    return stored(links_.unionByName(_similar_pairs(across, firsts, docs, key, text, similarity)), "similar-links")
-
-
-def _similar_pairs(pairs: DataFrame, prints: DataFrame, docs: DataFrame, key: str, text: str, similarity: float) -> DataFrame:
-    """The pairs (u, v) whose prints are near and whose shingle sets reach the similarity."""
-    names = [f"f{i}" for i in range(WORDS)]
-    bits = sum((F.bit_count(F.col(n).bitwiseXOR(F.col(f"_{n}"))) for n in names[1:]), F.bit_count(F.col(names[0]).bitwiseXOR(F.col(f"_{names[0]}"))))
-    mine, theirs = prints.withColumnRenamed("did", "u"), prints.select(F.col("did").alias("v"), *[F.col(n).alias(f"_{n}") for n in names])
-    near = stored(pairs.join(mine, "u").join(theirs, "v").where(bits <= MOST_BITS).select("u", "v"), "near-prints")
-    ids = near.select(F.col("u").alias("did")).unionByName(near.select(F.col("v").alias("did"))).distinct()
-    needed = docs.select(F.col(key).cast("long").alias("did"), F.col(text).alias("text")).join(small(stored(ids, "near-ids")), "did", "left_semi")
-    sets = stored(_shingle_sets(needed), "shingle-sets").dropDuplicates(["did"])
-    return _similar(near.join(sets.withColumnRenamed("did", "u").withColumnRenamed("s", "su"), "u").join(sets.withColumnRenamed("did", "v").withColumnRenamed("s", "sv"), "v"), similarity)
-
-
-def _shingle_sets(texts: DataFrame) -> DataFrame:
+def _often(sets: DataFrame) -> np.ndarray:
+    """Shingles that several documents of a sample have. They only set an order, so results do not depend on them."""
+    rows = sets.where("n <= 4096").select("s").limit(SAMPLE_DOCS).collect()
+    values, n = np.unique(np.concatenate([np.zeros(0, np.uint64), *(np.frombuffer(r.s, np.uint64) for r in rows)]), return_counts=True)
+    return values[n > 2]
+
+
+def _prefix_rows(sets: DataFrame, similarity: float) -> DataFrame:
+    """(seg, did, n): an entry for each shingle of a set's prefix."""
+    held = sets.sparkSession.sparkContext.broadcast(_often(sets))
+
     def part(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        often = held.value
         for b in batches:
-            yield pa.record_batch([b.column(0), pa.array([np.unique(shingles(t).astype(np.uint32)).tobytes() for t in b.column(1).to_pylist()], pa.binary())], names=["did", "s"])
+            for d, n, x in zip(*(b.column(i).to_pylist() for i in range(3)), strict=True):
+                seg = prefix(np.frombuffer(x, np.uint64), often, similarity).view(np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(seg), pa.array(np.full(len(seg), d)), pa.array(np.full(len(seg), n, np.int32))], names=["seg", "did", "n"])
 
-    return texts.select("did", "text").mapInArrow(part, "did long, s binary")
+    return sets.select("did", "n", "s").mapInArrow(part, "seg long, did long, n int")
 
 
-def _similar(pairs: DataFrame, similarity: float) -> DataFrame:
+def similar_links(docs: DataFrame, key: str = "doc_id", text: str = "text", similarity: float = 0.8, known: DataFrame | None = None) -> DataFrame:
+    """Edges (u, v) that link documents whose sets of five-word shingles have a Jaccard similarity of at least similarity:
+    with the known ones their components are those of all such pairs.
+
+    Documents with equal sets are linked and go on as one. Two sets that reach the similarity share a shingle of their
+    prefixes, so they meet at its entry. First each document of an entry is held against the entry's first. What these
+    edges and the known ones (u, v) connect is one component; then all documents of an entry that are in different
+    components are held against each other, in blocks, if their sizes allow the similarity."""
+    sets = stored(_shingle_sets(docs, key, text), "shingle-sets")
+    least = sets.groupBy("h", "n").agg(F.min("did").alias("v"))
+    equal = stored(sets.select("did", "h", "n").join(least, ["h", "n"]).where("did <> v").select(F.col("did").alias("u"), "v").distinct(), "equal-sets")
+    firsts = stored(sets.dropDuplicates(["did", "h"]).join(small(equal.select(F.col("u").alias("did")).distinct()), "did", "left_anti"), "first-sets")
+    rows = stored(_prefix_rows(firsts, similarity), "prefixes")
+    ends = stored(rows.groupBy("seg").agg(F.min("did").alias("v"), F.max("did").alias("z")).where("v < z").drop("z"), "prefix-firsts")
+    met = rows.join(ends, "seg").join(firsts.select(F.col("did").alias("v"), F.col("n").alias("m")), "v")
+    fits = F.least("n", "m") >= similarity * F.greatest("n", "m")
+    one = _similar(met.where((F.col("did") != F.col("v")) & fits).select(F.col("did").alias("u"), "v").distinct(), firsts, similarity)
+    links_ = stored(one.unionByName(equal), "first-links")
+    named = small(stored(components(links_ if known is None else links_.unionByName(known.select("u", "v"))), "first-components"))
+    shared = rows.join(ends.select("seg"), "seg", "left_semi")
+    labelled = stored(shared.join(named, F.col("did") == F.col("node"), "left").select("seg", "did", "n", F.coalesce("component", "did").alias("comp")), "labelled-prefixes")
+    mixed = labelled.groupBy("seg").agg(F.min("comp").alias("a"), F.max("comp").alias("z"), F.count(F.lit(1)).alias("k")).where("a < z")
+    members = stored(labelled.join(mixed.select("seg", F.ceil(F.col("k") / BLOCK).cast("int").alias("blocks")), "seg"), "mixed-prefixes")
+    mine = members.withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).drop("blocks")
+    theirs = members.select("seg", F.expr("cast(pmod(xxhash64(did), blocks) as int)").alias("block"), F.col("did").alias("v"), F.col("n").alias("m"), F.col("comp").alias("other"))
+    across = mine.join(theirs, ["seg", "block"]).where((F.col("did") > F.col("v")) & (F.col("comp") != F.col("other")) & fits).select(F.col("did").alias("u"), "v").distinct()
+    return stored(links_.unionByName(_similar(across, firsts, similarity)), "similar-links")
+
+
+def _similar(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """The pairs (u, v) whose shingle sets reach the similarity."""
+
     def part(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             keep = []
             for x, y in zip(b.column(2).to_pylist(), b.column(3).to_pylist(), strict=True):
-                s, t = np.frombuffer(x, np.uint32), np.frombuffer(y, np.uint32)
+                s, t = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
                 both = len(np.intersect1d(s, t, assume_unique=True))
-                keep.append(both > 0 and both >= similarity * (len(s) + len(t) - both))
+                keep.append(both >= similarity * (len(s) + len(t) - both))
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1)], names=["u", "v"]).filter(pa.array(keep, pa.bool_()))
 
-    return pairs.select("u", "v", "su", "sv").mapInArrow(part, "u long, v long")
+    found = pairs.join(sets.select(F.col("did").alias("u"), F.col("s").alias("su")), "u").join(sets.select(F.col("did").alias("v"), F.col("s").alias("sv")), "v")
+    return found.select("u", "v", "su", "sv").mapInArrow(part, "u long, v long")

@@ -2,7 +2,7 @@
 
 import random
 
-from layerloom.llm import substring_dedup
+from layerloom.llm import components, simhash, substring_dedup
 
 
 def words(rng, n, prefix=""):
@@ -45,3 +45,36 @@ def test_passage_among_phrases(spark):
         want |= {2 * i: 2 * i, 2 * i + 1: 2 * i}
     got = classes(spark, rows)
     assert got == want
+
+
+def similar_classes(spark, rows):
+    """(got, want): the components of similar_links, and those of all pairs at 0.8 by brute force."""
+    sets = {d: set(substring_dedup.shingles(t).tolist()) for d, t in rows}
+    root = {d: d for d in sets}
+
+    def find(d):
+        while root[d] != d:
+            d = root[d]
+        return d
+
+    for a in sets:
+        for b in sets:
+            if a < b and len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b]):
+                x, y = find(a), find(b)
+                root[max(x, y)] = min(x, y)
+    links = simhash.similar_links(spark.createDataFrame(rows, "doc_id long, text string"))
+    got = {r.node: r.component for r in components.components(links).collect()}
+    return {d: got.get(d, d) for d in sets}, {d: find(d) for d in sets}
+
+
+def test_similar_isolated(spark):
+    """Isolated pairs of a similarity near 0.8."""
+    rng, rows = random.Random(3), []
+    for i in range(120):
+        one = words(rng, 100 + i)
+        two = list(one)
+        for at in rng.sample(range(len(one)), rng.choice((1, 2, 2, 3))):
+            two[at] = "other"
+        rows += [(1000 + 2 * i, text(one)), (1001 + 2 * i, text(two))]
+    got, want = similar_classes(spark, rows)
+    assert got == want
