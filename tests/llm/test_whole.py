@@ -78,3 +78,15 @@ def test_similar_isolated(spark):
         rows += [(1000 + 2 * i, text(one)), (1001 + 2 * i, text(two))]
     got, want = similar_classes(spark, rows)
     assert got == want
+
+
+def test_similar_at_full_entries(spark):
+    """Near copies between the first and last of many documents on one template."""
+    rng, rows, template = random.Random(5), [], words(random.Random(4), 200)
+    for i in range(60):  # two of them have two thirds of their shingles in common, so they stay apart
+        own = words(rng, 100)
+        rows.append((2 * i, text(template, own)))
+        if i % 2:
+            rows.append((2 * i + 1, text(template, own[:75], words(rng, 25))))
+    got, want = similar_classes(spark, rows)
+    assert len(set(want.values())) > 30 and got == want
