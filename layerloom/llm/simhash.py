@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from layerloom.llm.common import small, stored
+from layerloom.llm.common import release, small, stored
 from layerloom.llm.components import components
 from layerloom.llm.substring_dedup import shingles
 
@@ -210,6 +210,7 @@ def similar_links(docs: DataFrame, key: str = "doc_id", text: str = "text", simi
     least = sets.groupBy("h", "n").agg(F.min("did").alias("v"))
     equal = stored(sets.select("did", "h", "n").join(least, ["h", "n"]).where("did <> v").select(F.col("did").alias("u"), "v").distinct(), "equal-sets")
     firsts = stored(sets.dropDuplicates(["did", "h"]).join(small(equal.select(F.col("u").alias("did")).distinct()), "did", "left_anti"), "first-sets")
+    release(sets)
     rows = stored(_prefix_rows(firsts, similarity), "prefixes")
     ends = stored(rows.groupBy("seg").agg(F.min("did").alias("v"), F.max("did").alias("z")).where("v < z").drop("z"), "prefix-firsts")
     met = rows.join(ends, "seg").join(firsts.select(F.col("did").alias("v"), F.col("n").alias("m")), "v")
@@ -219,8 +220,11 @@ def similar_links(docs: DataFrame, key: str = "doc_id", text: str = "text", simi
     named = small(stored(components(links_ if known is None else links_.unionByName(known.select("u", "v"))), "first-components"))
     shared = rows.join(ends.select("seg"), "seg", "left_semi")
     labelled = stored(shared.join(named, F.col("did") == F.col("node"), "left").select("seg", "did", "n", F.coalesce("component", "did").alias("comp")), "labelled-prefixes")
+    release(rows)
+    release(ends)
     mixed = labelled.groupBy("seg").agg(F.min("comp").alias("a"), F.max("comp").alias("z"), F.count(F.lit(1)).alias("k")).where("a < z")
     members = stored(labelled.join(mixed.select("seg", F.ceil(F.col("k") / BLOCK).cast("int").alias("blocks")), "seg"), "mixed-prefixes")
+    release(labelled)
     mine = members.withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).drop("blocks")
     theirs = members.select("seg", F.expr("cast(pmod(xxhash64(did), blocks) as int)").alias("block"), F.col("did").alias("v"), F.col("n").alias("m"), F.col("comp").alias("other"))
     across = mine.join(theirs, ["seg", "block"]).where((F.col("did") > F.col("v")) & (F.col("comp") != F.col("other")) & fits).select(F.col("did").alias("u"), "v").distinct()
@@ -239,5 +243,8 @@ def _similar(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
                 keep.append(both >= similarity * (len(s) + len(t) - both))
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1)], names=["u", "v"]).filter(pa.array(keep, pa.bool_()))
 
+    pairs = stored(pairs, "prefix-pairs")
+    ids = stored(pairs.select(F.col("u").alias("did")).unionByName(pairs.select(F.col("v").alias("did"))).distinct(), "pair-ids")
+    sets = sets.select("did", "s").join(small(ids), "did", "left_semi")
     found = pairs.join(sets.select(F.col("did").alias("u"), F.col("s").alias("su")), "u").join(sets.select(F.col("did").alias("v"), F.col("s").alias("sv")), "v")
     return found.select("u", "v", "su", "sv").mapInArrow(part, "u long, v long")
