@@ -6,10 +6,12 @@ import math
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from layerloom.llm.arrays import trimmed
+
 _SALT = 0x9E3779B97F4A7C15
 
 
@@ -52,14 +54,14 @@ class Level:
         """OR the bits of keys (column h) into words, each task first into its own rows, then by an aggregation."""
         me = self
 
-        def part(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            for pdf in it:
-                p = np.unique(me.places(pdf["h"].to_numpy().view(np.uint64)))
+        def part(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                p = np.unique(me.places(b.column(0).to_numpy().view(np.uint64)))
                 word = (p >> np.uint64(6)).astype(np.int64)
                 mask = np.uint64(1) << (p & np.uint64(63))
                 if len(word):
                     at = np.flatnonzero(np.r_[True, word[1:] != word[:-1]])
-                    yield pd.DataFrame({"w": word[at], "m": np.bitwise_or.reduceat(mask, at).view(np.int64)})
+                    yield pa.record_batch([pa.array(word[at]), pa.array(np.bitwise_or.reduceat(mask, at).view(np.int64))], names=["w", "m"])
 
-        words = keys.select("h").mapInPandas(part, "w long, m long").groupBy("w").agg(F.bit_or("m").alias("m")).toPandas()
-        self.words[words["w"].to_numpy()] = words["m"].to_numpy().view(np.uint64)
+        words = keys.select("h").mapInArrow(trimmed(part), "w long, m long").groupBy("w").agg(F.bit_or("m").alias("m")).toArrow()
+        self.words[words.column("w").to_numpy()] = words.column("m").to_numpy().view(np.uint64)

@@ -17,11 +17,13 @@ BROADCAST_ROWS = 50_000
 
 
 def scratch_dir(spark: SparkSession) -> str:
-    """The shared folder of the cluster (spark.checkpoint.dir); a temporary one where that is unset, as in tests."""
+    """The shared folder of the cluster (spark.checkpoint.dir); a temporary one where that is unset and the master is local, as in tests."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
         held = spark.sparkContext.getCheckpointDir()
         if not held:
+            if not spark.sparkContext.master.startswith("local["):
+                raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
             spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="layerloom-"))
             held = spark.sparkContext.getCheckpointDir()
         found = held
@@ -57,6 +59,14 @@ def small(df: DataFrame, rows: int | None = None, most: int = BROADCAST_ROWS) ->
     return F.broadcast(df) if n <= most else df
 
 
+def unused(df: DataFrame, name: str) -> str:
+    """name, or the first of name_, name__ and so on that df has no column of (in any case)."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
     """body(value) with value computed once, however often body names it, inside lambdas too."""
     return F.get(F.transform(F.array(value), body), F.lit(0))
