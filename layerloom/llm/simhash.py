@@ -27,7 +27,9 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from layerloom.llm.common import release, small, stored
+from layerloom.llm.arrays import trimmed
+from layerloom.llm.bloom import Level
+from layerloom.llm.common import release, small, stored, unused
 from layerloom.llm.components import components
 from layerloom.llm.substring_dedup import shingles
 
@@ -65,7 +67,7 @@ def fingerprints(docs: DataFrame, key: str = "doc_id", text: str = "text", shing
             yield pa.record_batch([b.column(0), pa.array(fps)], names=[key, "fp"])
 
     kind = docs.schema[key].dataType.simpleString()
-    return docs.select(key, text).mapInArrow(part, f"`{key}` {kind}, fp long")
+    return docs.select(key, text).mapInArrow(trimmed(part), f"`{key}` {kind}, fp long")
 
 
 def fp_hex(fp: Column) -> Column:
@@ -131,25 +133,37 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", sh
 def keep_one(docs: DataFrame, key: str = "doc_id", text: str = "text", similarity: float | None = None, **options) -> DataFrame:
     """docs without the rows whose component is named by another row's key.
 
-    With a similarity, documents also belong together whose sets of five-word shingles reach it (similar_links)."""
-    found = near_duplicates(docs, key, text, **options).select(key, "component_id")
+    With a similarity, documents also belong together whose sets of five-word shingles reach it (similar_links). Rows
+    that repeat a key stay or go together. A row without a key goes if its fingerprint's component has a key."""
+    found = stored(near_duplicates(docs, key, text, **options).select(F.col(key).alias("did"), "fp", "component_id"), "simhash-components")
+    links_ = found.where("did <> component_id").select(F.col("did").alias("u"), F.col("component_id").alias("v"))
     if similarity is not None:
-        bits = stored(found.where(F.col(key) != F.col("component_id")).select(F.col(key).cast("long").alias("u"), F.col("component_id").cast("long").alias("v")), "fingerprint-links")
-        named = components(bits.unionByName(similar_links(docs, key, text, similarity, bits)))
-        found = named.select(F.col("node").alias(key), F.col("component").alias("component_id"))
-    gone = stored(found.where(F.col(key) != F.col("component_id")).select(key).distinct(), "near-copies")
-    return docs.join(small(gone), key, "left_anti")
+        links_ = links_.unionByName(similar_links(docs, key, text, similarity, links_))
+    gone = stored(components(links_).where("node <> component").select(F.col("node").alias(unused(docs, "gone"))), "near-copies")
+    kept = docs.where(F.col(key).isNotNull()).join(small(gone), F.col(key) == F.col(gone.columns[0]), "left_anti")
+    bare = docs.where(F.col(key).isNull())
+    if not bare.isEmpty():
+        texts = fingerprints(bare.select(F.xxhash64(text).alias("th"), F.col(text).alias("text")).distinct(), "th", "text")
+        named = found.where("component_id is not null").select("fp").distinct()
+        copies = texts.join(named, "fp", "left_semi").select(F.col("th").alias(unused(docs, "gone")))
+        kept = kept.unionByName(bare.join(copies, F.xxhash64(text) == F.col(copies.columns[0]), "left_anti"))
+    return kept
 
 
 # Links by shingle similarity: prefix filtering over the shingle sets, which misses no pair.
 
 SAMPLE_DOCS = 2000
 BLOCK = 256
+SKETCH = [f"p{i}" for i in range(8)]
+FILTER_BITS = 1 << 27
 
 
 def shingle_set(text: str | None) -> np.ndarray:
     """The distinct hashes (uint64) of five-word shingles, sorted; a shorter text is one shingle of all its words."""
-    base = shingles(text)
+    return _set_of(text, shingles(text))
+
+
+def _set_of(text: str | None, base: np.ndarray) -> np.ndarray:
     if len(base):
         return np.unique(base)
     return np.array([xxhash.xxh64_intdigest(" ".join((text or "").lower().split()), HASH_SEED)], dtype=np.uint64)
@@ -164,75 +178,137 @@ def prefix(found: np.ndarray, often: np.ndarray, similarity: float) -> np.ndarra
     return order[: len(found) - math.ceil(similarity * len(found) - 1e-9) + 1]
 
 
-def _shingle_sets(docs: DataFrame, key: str, text: str) -> DataFrame:
-    """(did, n, h, s): each document's shingle set, with a hash of it."""
+def _often(texts: DataFrame) -> np.ndarray:
+    """Shingles that several documents of a sample have. They only set an order, so results do not depend on them."""
+    rows = texts.select("text").limit(SAMPLE_DOCS).toLocalIterator()
+    values, n = np.unique(np.concatenate([np.zeros(0, np.uint64), *(shingle_set(r.text) for r in rows)]), return_counts=True)
+    return values[n > 2]
+
+
+def _sets(b: pa.RecordBatch) -> Iterator[tuple[int, np.ndarray]]:
+    """(row, shingle set) of a batch's texts."""
+    for i, t in enumerate(b.column(b.schema.get_field_index("text")).to_pylist()):
+        yield i, shingle_set(t)
+
+
+def _identity(found: np.ndarray) -> bytes:
+    return xxhash.xxh3_128_digest(found.tobytes())
+
+
+def _prefix_keys(texts: DataFrame, often, similarity: float) -> DataFrame:
+    """(key, n): the shingles of prefixes, n the number of documents of a batch that have it, at most 2."""
 
     def part(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            sets = [shingle_set(t) for t in b.column(1).to_pylist()]
-            data = [x.tobytes() for x in sets]
-            h = np.array([xxhash.xxh64_intdigest(x, HASH_SEED) for x in data], dtype=np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([len(x) for x in sets], pa.int32()), pa.array(h), pa.array(data, pa.binary())], names=["did", "n", "h", "s"])
+            found = [prefix(x, often.value, similarity) for _, x in _sets(b)]
+            k, n = np.unique(np.concatenate(found or [np.zeros(0, np.uint64)]), return_counts=True)
+            yield pa.record_batch([pa.array(k.view(np.int64)), pa.array(np.minimum(n, 2))], names=["key", "n"])
 
-    return docs.where(F.col(key).isNotNull()).select(F.col(key).cast("long"), text).mapInArrow(part, "did long, n int, h long, s binary")
+    return texts.select("text").mapInArrow(trimmed(part), "key long, n long")
 
 
-def _often(sets: DataFrame) -> np.ndarray:
-    """Shingles that several documents of a sample have. They only set an order, so results do not depend on them."""
-    rows = sets.where("n <= 4096").select("s").limit(SAMPLE_DOCS).collect()
-    values, n = np.unique(np.concatenate([np.zeros(0, np.uint64), *(np.frombuffer(r.s, np.uint64) for r in rows)]), return_counts=True)
-    return values[n > 2]
+def _prefix_docs(texts: DataFrame, often, held, similarity: float) -> DataFrame:
+    """(did, r1, r2, n, keys, sketch): the documents that share a shingle of their prefix, by a hash of their shingle set.
 
+    The sketch is the parity of the shingles that fall on each of its bits, so two sketches differ in no more bits than
+    their sets have different shingles."""
+    kind = texts.schema["did"].dataType.simpleString()
 
-def _prefix_rows(sets: DataFrame, similarity: float) -> DataFrame:
-    """(seg, did, n): an entry for each shingle of a set's prefix."""
-    held = sets.sparkSession.sparkContext.broadcast(_often(sets))
+    def part(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        level = held.value
+        for b in batches:
+            rows, ids, sizes, keys, sketches = [], [], [], [], []
+            for i, x in _sets(b):
+                shared = prefix(x, often.value, similarity)
+                shared = shared[level.has(shared)]
+                if len(shared):
+                    rows.append(i)
+                    ids.append(_identity(x))
+                    sizes.append(len(x))
+                    keys.append(shared.view(np.int64))
+                    sketches.append(np.packbits(np.bincount((x >> np.uint64(32)).astype(np.int64) % (64 * len(SKETCH)), minlength=64 * len(SKETCH)) & 1).tobytes())
+            id_ = np.frombuffer(b"".join(ids), np.int64).reshape(-1, 2)
+            sketch = np.frombuffer(b"".join(sketches), np.int64).reshape(-1, len(SKETCH))
+            lists = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, keys)]), pa.int32()), pa.array(np.concatenate([np.zeros(0, np.int64), *keys])))
+            yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(rows, pa.int64())), pa.array(id_[:, 0]), pa.array(id_[:, 1]), pa.array(sizes, pa.int32()), lists, *map(pa.array, sketch.T.copy())], names=["did", "r1", "r2", "n", "keys", *SKETCH])
+
+    return texts.select("did", "text").mapInArrow(trimmed(part), f"did {kind}, r1 long, r2 long, n int, keys array<long>, " + ", ".join(f"{x} long" for x in SKETCH))
+
+
+def _sets_named(texts: DataFrame, held) -> DataFrame:
+    """(r1, r2, s): the shingle sets whose hash the filter lets through."""
 
     def part(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        often = held.value
+        level = held.value
         for b in batches:
-            for d, n, x in zip(*(b.column(i).to_pylist() for i in range(3)), strict=True):
-                seg = prefix(np.frombuffer(x, np.uint64), often, similarity).view(np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(seg), pa.array(np.full(len(seg), d)), pa.array(np.full(len(seg), n, np.int32))], names=["seg", "did", "n"])
+            found = [(_identity(x), x.tobytes()) for _, x in _sets(b)]
+            ids = np.frombuffer(b"".join(x for x, _ in found), np.int64).reshape(-1, 2)
+            keep = np.flatnonzero(level.has(ids[:, 0].copy().view(np.uint64))).tolist()
+            yield pa.RecordBatch.from_arrays([pa.array(ids[keep, 0]), pa.array(ids[keep, 1]), pa.array([found[i][1] for i in keep], pa.binary())], names=["r1", "r2", "s"])
 
-    return sets.select("did", "n", "s").mapInArrow(part, "seg long, did long, n int")
+    return texts.select("text").mapInArrow(trimmed(part), "r1 long, r2 long, s binary")
+
+
+def _filter(keys: DataFrame, number: int) -> object:
+    n = keys.count()
+    level = Level(number, max(1, n), 0.01, FILTER_BITS)
+    if n:
+        level.fill(keys)
+    return keys.sparkSession.sparkContext.broadcast(level)
 
 
 def similar_links(docs: DataFrame, key: str = "doc_id", text: str = "text", similarity: float = 0.8, known: DataFrame | None = None) -> DataFrame:
     """Edges (u, v) that link documents whose sets of five-word shingles have a Jaccard similarity of at least similarity:
-    with the known ones their components are those of all such pairs.
-
-    Documents with equal sets are linked and go on as one. Two sets that reach the similarity share a shingle of their
-    prefixes, so they meet at its entry. First each document of an entry is held against the entry's first. What these
-    edges and the known ones (u, v) connect is one component; then all documents of an entry that are in different
-    components are held against each other, in blocks, if their sizes allow the similarity."""
-    sets = stored(_shingle_sets(docs, key, text), "shingle-sets")
-    least = sets.groupBy("h", "n").agg(F.min("did").alias("v"))
-    equal = stored(sets.select("did", "h", "n").join(least, ["h", "n"]).where("did <> v").select(F.col("did").alias("u"), "v").distinct(), "equal-sets")
-    firsts = stored(sets.dropDuplicates(["did", "h"]).join(small(equal.select(F.col("u").alias("did")).distinct()), "did", "left_anti"), "first-sets")
-    release(sets)
-    rows = stored(_prefix_rows(firsts, similarity), "prefixes")
-    ends = stored(rows.groupBy("seg").agg(F.min("did").alias("v"), F.max("did").alias("z")).where("v < z").drop("z"), "prefix-firsts")
-    met = rows.join(ends, "seg").join(firsts.select(F.col("did").alias("v"), F.col("n").alias("m")), "v")
-    fits = F.least("n", "m") >= similarity * F.greatest("n", "m")
-    one = _similar(met.where((F.col("did") != F.col("v")) & fits).select(F.col("did").alias("u"), "v").distinct(), firsts, similarity)
-    links_ = stored(one.unionByName(equal), "first-links")
-    named = small(stored(components(links_ if known is None else links_.unionByName(known.select("u", "v"))), "first-components"))
-    shared = rows.join(ends.select("seg"), "seg", "left_semi")
-    labelled = stored(shared.join(named, F.col("did") == F.col("node"), "left").select("seg", "did", "n", F.coalesce("component", "did").alias("comp")), "labelled-prefixes")
+    with the known ones their components are those of all such pairs. Rows without a key have no links.
+
+    Two sets that reach the similarity share a shingle of their prefixes. One reading counts these shingles, and a
+    bounded Bloom filter carries those of several documents to the next, which keeps the documents that have one.
+    Documents with equal sets are linked and go on as one. First each document is held against the first one at each of
+    its shingles. What these edges and the known ones (u, v) connect is one component; then all documents at a shingle
+    that are in different components are held against each other, in blocks. Pairs whose sizes or sketches rule out the
+    similarity end there; for the others the sets are read and decide."""
+    texts = docs.where(F.col(key).isNotNull()).select(F.col(key).alias("did"), F.col(text).alias("text"))
+    often = docs.sparkSession.sparkContext.broadcast(_often(texts))
+    shared = stored(_prefix_keys(texts, often, similarity).groupBy("key").agg(F.sum("n").alias("n")).where("n > 1").select(F.col("key").alias("h")), "shared-shingles")
+    held = _filter(shared, 5)
+    release(shared)
+    found = stored(_prefix_docs(texts, often, held, similarity), "prefix-docs")
+    rest = [F.first(c).alias(c) for c in ("n", "keys", *SKETCH)]
+    sets = stored(found.groupBy("r1", "r2").agg(F.min("did").alias("did"), *rest), "first-sets")
+    equal = found.select("did", "r1", "r2").join(sets.select("r1", "r2", F.col("did").alias("v")), ["r1", "r2"]).where("did <> v").select(F.col("did").alias("u"), "v").distinct()
+    equal = stored(equal, "equal-sets")
+    release(found)
+    rows = stored(sets.select("did", "r1", "r2", F.explode("keys").alias("seg")), "prefixes")
+    least = rows.groupBy("seg").agg(F.min(F.struct("did", "r1", "r2")).alias("f"), F.count(F.lit(1)).alias("k")).where("k > 1").select("seg", F.col("f.r1").alias("o1"), F.col("f.r2").alias("o2"))
+    met = rows.join(least, "seg").where("r1 <> o1 or r2 <> o2").select("r1", "r2", "o1", "o2").distinct()
+    one = stored(_similar(met, sets, texts, similarity).unionByName(equal), "first-links")
+    release(equal)
+    named = stored(components(one if known is None else one.unionByName(known.select("u", "v"))), "first-components")
+    labelled = rows.join(small(named), F.col("did") == F.col("node"), "left").select("seg", "did", "r1", "r2", F.coalesce("component", "did").alias("comp"))
+    mixed = labelled.groupBy("seg").agg(F.min("comp").alias("a"), F.max("comp").alias("z"), F.count(F.lit(1)).alias("k")).where("a < z").select("seg", F.ceil(F.col("k") / BLOCK).cast("int").alias("blocks"))
+    members = stored(labelled.join(mixed, "seg"), "mixed-prefixes")
     release(rows)
-    release(ends)
-    mixed = labelled.groupBy("seg").agg(F.min("comp").alias("a"), F.max("comp").alias("z"), F.count(F.lit(1)).alias("k")).where("a < z")
-    members = stored(labelled.join(mixed.select("seg", F.ceil(F.col("k") / BLOCK).cast("int").alias("blocks")), "seg"), "mixed-prefixes")
-    release(labelled)
+    release(named)
     mine = members.withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).drop("blocks")
-    theirs = members.select("seg", F.expr("cast(pmod(xxhash64(did), blocks) as int)").alias("block"), F.col("did").alias("v"), F.col("n").alias("m"), F.col("comp").alias("other"))
-    across = mine.join(theirs, ["seg", "block"]).where((F.col("did") > F.col("v")) & (F.col("comp") != F.col("other")) & fits).select(F.col("did").alias("u"), "v").distinct()
-    return stored(links_.unionByName(_similar(across, firsts, similarity)), "similar-links")
-
-
-def _similar(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
-    """The pairs (u, v) whose shingle sets reach the similarity."""
+    theirs = members.select("seg", F.expr("cast(pmod(xxhash64(r1), blocks) as int)").alias("block"), F.col("did").alias("v"), F.col("r1").alias("o1"), F.col("r2").alias("o2"), F.col("comp").alias("other"))
+    across = mine.join(theirs, ["seg", "block"]).where((F.col("did") > F.col("v")) & (F.col("comp") != F.col("other"))).select("r1", "r2", "o1", "o2").distinct()
+    out = stored(one.unionByName(_similar(across, sets, texts, similarity)), "similar-links")
+    for t in (members, one, sets):
+        release(t)
+    return out
+
+
+def _similar(pairs: DataFrame, sets: DataFrame, texts: DataFrame, similarity: float) -> DataFrame:
+    """Edges (u, v) of the pairs (r1, r2, o1, o2) of sets that reach the similarity."""
+    kind = texts.schema["did"].dataType.simpleString()
+    own = sets.select("r1", "r2", F.col("did").alias("u"), "n", *SKETCH)
+    other = sets.select(F.col("r1").alias("o1"), F.col("r2").alias("o2"), F.col("did").alias("v"), F.col("n").alias("m"), *[F.col(x).alias(f"_{x}") for x in SKETCH])
+    differ = sum((F.bit_count(F.col(x).bitwiseXOR(F.col(f"_{x}"))) for x in SKETCH), F.lit(0))
+    fits = (F.least("n", "m") >= similarity * F.greatest("n", "m")) & (differ * (1 + similarity) <= (F.col("n") + F.col("m")) * (1 - similarity) + 1e-9)
+    near = stored(pairs.join(own, ["r1", "r2"]).join(other, ["o1", "o2"]).where(fits & (F.col("u") != F.col("v"))).select("r1", "r2", "o1", "o2", "u", "v"), "prefix-pairs")
+    due = stored(near.select(F.col("r1").alias("h")).unionByName(near.select(F.col("o1").alias("h"))).distinct(), "pair-sets")
+    named = stored(_sets_named(texts, _filter(due, 6)).groupBy("r1", "r2").agg(F.first("s").alias("s")), "sets")
+    release(due)
 
     def part(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -243,8 +319,8 @@ def _similar(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
                 keep.append(both >= similarity * (len(s) + len(t) - both))
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1)], names=["u", "v"]).filter(pa.array(keep, pa.bool_()))
 
-    pairs = stored(pairs, "prefix-pairs")
-    ids = stored(pairs.select(F.col("u").alias("did")).unionByName(pairs.select(F.col("v").alias("did"))).distinct(), "pair-ids")
-    sets = sets.select("did", "s").join(small(ids), "did", "left_semi")
-    found = pairs.join(sets.select(F.col("did").alias("u"), F.col("s").alias("su")), "u").join(sets.select(F.col("did").alias("v"), F.col("s").alias("sv")), "v")
-    return found.select("u", "v", "su", "sv").mapInArrow(part, "u long, v long")
+    with_sets = near.join(named, ["r1", "r2"]).join(named.select(F.col("r1").alias("o1"), F.col("r2").alias("o2"), F.col("s").alias("t")), ["o1", "o2"])
+    out = stored(with_sets.select("u", "v", "s", "t").mapInArrow(trimmed(part), f"u {kind}, v {kind}").distinct(), "set-links")
+    release(near)
+    release(named)
+    return out
