@@ -7,10 +7,18 @@ import re
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+# Which files and directories count decides the results.
 CODE_EXTENSIONS = (".h", ".hpp", ".hxx", ".cpp", ".cc", ".cxx", ".c", ".py", ".pyi", ".cs", ".ts", ".tsx", ".js", ".jsx", ".mjs", ".cjs")
-DOCUMENT_EXTENSIONS = (".md", ".txt", ".rst", ".html", ".htm", ".pdf", ".docx", ".pptx", ".xlsx", ".csv", ".json", ".xml", ".epub", ".doc", ".ppt", ".xls")
-BINARY_EXTENSIONS = (".exe", ".dll", ".so", ".o", ".a", ".lib", ".png", ".jpg", ".jpeg", ".gif", ".zip", ".gz", ".tar", ".7z", ".pdf", ".doc", ".docx", ".xls", ".xlsx", ".bin", ".class", ".pyc")
-SKIPPED_DIRS = ("node_modules", "build", "dist", "bin", "obj", "out", "target", "venv", "env", "vendor", "third_party", "__pycache__", "_images")
+DOCUMENT_EXTENSIONS = (".md", ".rst", ".txt", ".html", ".htm", ".pdf", ".docx", ".doc", ".pptx", ".xlsx", ".xls", ".csv", ".epub", ".ipynb", ".json", ".xml")
+BINARY_EXTENSIONS = (
+    ".o", ".obj", ".a", ".lib", ".so", ".dll", ".dylib", ".exe", ".pdb", ".class", ".jar", ".war", ".pyc", ".pyo",
+    ".zip", ".tar", ".gz", ".bz2", ".7z", ".rar",
+    ".png", ".jpg", ".jpeg", ".gif", ".bmp", ".ico", ".svg", ".mp3", ".wav", ".ogg", ".mp4", ".avi", ".mov",
+    ".pdf", ".doc", ".docx", ".xls", ".xlsx", ".ppt", ".db", ".sqlite", ".dat", ".bin",
+    ".ttf", ".otf", ".woff", ".woff2",
+    ".pak", ".asset", ".meta", ".fbx", ".uasset",
+)
+SKIPPED_DIRS = ("__pycache__", "node_modules", ".git", ".svn", ".hg", "__pypackages__", ".tox", ".mypy_cache", ".pytest_cache", ".ruff_cache", "venv", ".venv", "env", ".env", "_images")
 FALLBACK_EXTENSIONS = (".h", ".hpp", ".cpp", ".cc")
 MAX_CODE_BYTES, MAX_DOCUMENT_BYTES = 1_000_000, 1_048_576
 

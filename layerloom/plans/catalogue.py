@@ -153,9 +153,17 @@ def cleanup_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
     return changes.owned_files(_changes(spark, sf_dir).where("change = 'deleted'").select("comp_key"))
 
 
-@query(f"WITH {V.SQL_META} SELECT DISTINCT 'corpus/' || split_part(comp_key, '/', 2) AS package_key FROM ch WHERE change <> 'unchanged' AND comp_key LIKE '%7'")
+@query(f"""WITH {V.SQL_META}, meta2 AS (SELECT comp_key, status, source_hash, content_hash FROM meta WHERE NOT regexp_matches(split_part(comp_key, '/', 2), '[13579]$')
+  UNION ALL SELECT comp_key, 'done', source_hash, content_hash FROM cur WHERE regexp_matches(package, '[13579]$')),
+ch2 AS (SELECT coalesce(c.comp_key, m.comp_key) AS comp_key, CASE WHEN c.comp_key IS NOT NULL AND m.comp_key IS NOT NULL AND m.status NOT IN ('failed', 'partial') AND m.source_hash <> ''
+    AND (m.source_hash = c.source_hash OR (m.content_hash <> '' AND m.content_hash = c.content_hash)) THEN 'unchanged' ELSE 'other' END AS change FROM cur c FULL JOIN meta2 m USING (comp_key))
+SELECT DISTINCT 'corpus/' || split_part(comp_key, '/', 2) AS package_key FROM ch2 WHERE change <> 'unchanged'""")
 def dirty_packages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return changes.dirty_packages(_changes(spark, sf_dir).where("comp_key LIKE '%7'"))
+    """Packages with a component that is not unchanged; those whose name ends in an odd digit are as the last run left them."""
+    current, clean = V.current_components(spark, sf_dir), "rlike(package, '[13579]$')"
+    same = current.where(clean).select("comp_key", F.lit("done").alias("status"), "source_hash", "content_hash")
+    before = V.previous_meta(spark, sf_dir).where("not rlike(split(comp_key, '/')[1], '[13579]$')").select(*same.columns)
+    return changes.dirty_packages(changes.classify(current, before.unionByName(same)))
 
 
 @query(f"""WITH {V.SQL_META}, r AS (SELECT *, row_number() OVER (PARTITION BY change ORDER BY comp_key) AS k FROM ch)
@@ -237,7 +245,7 @@ _IMAGES = "'![a ' || doc_id || '](img/' || doc_id || '.png) ![b](./x.gif) ![c](h
 
 
 def _images(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "documents").selectExpr("doc_id", f"{_IMAGES} AS md".replace("||", "||"))
+    return table(spark, sf_dir, "documents").selectExpr("doc_id", f"{_IMAGES} AS md")
 
 
 @query("SELECT doc_id, '![a ' || doc_id || '](asset://img/' || doc_id || '.png) ![b](asset://x.gif) ![c](https://h/' || doc_id || '.png) ![d](/root.png) ![e](asset://_images/p.png)' AS referred, '    ' AS dropped FROM documents")
@@ -377,13 +385,13 @@ def link_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _contents(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Batches of a package's files by the last digit of their ids, keys in order."""
     f = V.files(spark, sf_dir).withColumn("batch_idx", F.col("doc_id") % 3)
-    entries = f.select(F.col("package").alias("component"), F.col("doc_id").alias("entry_key"), "rel", F.substring("content", 1, 40).alias("text"))
+    entries = f.select(F.col("package").alias("component"), F.col("doc_id").alias("entry_key"), "rel", F.col("content").alias("text"))
     batches = f.groupBy(F.col("package").alias("component"), "batch_idx").agg(F.array_sort(F.collect_list("doc_id")).alias("entry_keys"))
     return summaries.batch_contents(batches, entries)
 
 
 _CONTENTS = V.SQL_FILES + """,
-bc AS (SELECT package AS component, doc_id % 3 AS batch_idx, string_agg('// --- ' || rel || ' ---' || chr(10) || left(content, 40), chr(10) || chr(10) ORDER BY doc_id) AS content FROM f GROUP BY ALL),
+bc AS (SELECT package AS component, doc_id % 3 AS batch_idx, string_agg('// --- ' || rel || ' ---' || chr(10) || content, chr(10) || chr(10) ORDER BY doc_id) AS content FROM f GROUP BY ALL),
 mp AS (SELECT package AS component, doc_id % 3 AS batch_idx, list(rel ORDER BY doc_id) AS paths FROM f GROUP BY ALL),
 fs AS (SELECT component, batch_idx, '## Responsibility' || chr(10) || 'Nothing could be summarized from this excerpt.' || chr(10) || chr(10) || '## Key Types and Relationships' || chr(10) || 'Nothing could be summarized from this excerpt.' || chr(10) || chr(10)
   || '## Source Files' || chr(10) || array_to_string(list_transform(paths[1:12], lambda p: '- ' || p), chr(10)) || chr(10) || chr(10) || '## Dependencies' || chr(10) || 'Nothing could be summarized from this excerpt.' AS summary FROM mp),
@@ -410,11 +418,11 @@ def fragment_agg(spark: SparkSession, sf_dir: str) -> DataFrame:
     return summaries.fragments(summaries.leaves(_contents(spark, sf_dir)), ["component"])
 
 
-@query(f"""WITH {V.SQL_FILES}, p AS (SELECT package, dir, count(*) AS n, max(left(content, 30)) AS t FROM f GROUP BY ALL)
+@query(f"""WITH {V.SQL_FILES}, p AS (SELECT package, dir, count(*) AS n, max(content) AS t FROM f GROUP BY ALL)
 SELECT package, string_agg('### ' || dir || ' (' || n || ' files)' || chr(10) || t, chr(10) || chr(10) ORDER BY dir) AS text FROM p GROUP BY package""")
 def package_overview_input(spark: SparkSession, sf_dir: str) -> DataFrame:
     f = scan.with_names(V.files(spark, sf_dir))
-    p = f.groupBy("package", "dir").agg(F.count(F.lit(1)).alias("n"), F.max(F.substring("content", 1, 30)).alias("t"))
+    p = f.groupBy("package", "dir").agg(F.count(F.lit(1)).alias("n"), F.max("content").alias("t"))
     return summaries.overview_input(p, ["package"], "dir", "t", F.concat(F.col("n").cast("string"), F.lit(" files")))
 
 
@@ -698,5 +706,5 @@ def incremental_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     pages = runs.parquet_stream(spark, sf_dir, "pages.parquet").select(F.col("page_id").alias("comp_key"), F.md5("html").alias("source_hash"))
     out = runs.shared_folder(spark, "snapshots")
-    runs.merge_snapshots(pages, f"{out}/meta", f"{out}/checkpoint", "comp_key")
-    return spark.read.parquet(f"{out}/meta/0")
+    newest = runs.merge_snapshots(pages, f"{out}/meta", f"{out}/checkpoint", "comp_key")
+    return spark.read.parquet(f"{out}/meta/{newest}")

@@ -122,7 +122,7 @@ def _stripped(x: str) -> str:
     return f"trim({x}, ' ' || chr(9) || chr(10) || chr(13) || chr(11) || chr(12) || chr(28) || chr(29) || chr(30) || chr(31) || chr(133) || chr(160))"
 
 
-SQL_PAGES = f"t AS (SELECT page_id, url, html, {_stripped(_decoded(chr(114) + 'egexp_extract(html, ' + chr(39) + '<title>(.*?)</title>' + chr(39) + ', 1, ' + chr(39) + 's' + chr(39) + ')'))} AS title FROM pages)"
+SQL_PAGES = f"t AS (SELECT page_id, url, html, {_stripped(_decoded("regexp_extract(html, '<title>(.*?)</title>', 1, 's')"))} AS title FROM pages)"
 
 
 def sql_markdown(x: str) -> str:

@@ -14,7 +14,9 @@ COLUMNS = ("source", "package", "rel", "content")
 
 
 def code_files(spark: SparkSession, root: str, source: str, max_bytes: int = MAX_CODE_BYTES) -> DataFrame:
-    """(source, package, rel, size, mtime, content) of all files up to a size; the size filter reaches the scan."""
+    """(source, package, rel, size, mtime, content) of all files up to a size; the size filter reaches the scan.
+
+    What is not UTF-8 in a file becomes a replacement character, so one bad byte costs no file and no scan."""
     raw = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root).where(F.col("length") <= max_bytes)
     full = F.regexp_replace("path", "^[a-z]+:/*", "/")
     below = F.regexp_replace(full, "^" + _quoted(_plain(root)) + "/", "")
@@ -24,7 +26,7 @@ def code_files(spark: SparkSession, root: str, source: str, max_bytes: int = MAX
         F.when(F.contains(below, F.lit("/")), F.regexp_replace(below, "^[^/]*/", "")).otherwise(below).alias("rel"),
         F.col("length").alias("size"),
         F.unix_micros("modificationTime").cast("double").alias("_us"),
-        F.decode("content", "UTF-8").alias("content"),
+        F.make_valid_utf8(F.col("content").cast("string")).alias("content"),
     ).withColumn("mtime", F.col("_us") / 1e6).drop("_us")
 
 
