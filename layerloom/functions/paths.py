@@ -108,3 +108,8 @@ def source_name(raw: Column, default: str = "source") -> Column:
 def leaf_file(name: Column) -> Column:
     flat = F.regexp_replace(name, "[/\\\\]", "_")
     return F.when(F.endswith(F.lower(flat), F.lit(".md")), flat).otherwise(F.concat(flat, F.lit(".md")))
+
+
+def converted_extensions(include: Column) -> Column:
+    """Suffixes of an array that need a converter: all but Markdown and plain text, sorted."""
+    return F.array_sort(F.array_except(include, F.array(F.lit(".md"), F.lit(".txt"))))

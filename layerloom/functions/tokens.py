@@ -69,3 +69,13 @@ def elapsed(seconds: Column) -> Column:
 def remaining(done: Column, total: Column, seconds: Column) -> Column:
     """Seconds left if the rest goes as what is done; null before anything is."""
     return F.when(done > 0, (total - done) * seconds / done)
+
+
+def chars_per_token(calibrated: Column, configured: Column) -> Column:
+    """The calibrated figure where there is one, else the configured one."""
+    return F.coalesce(calibrated, configured)
+
+
+def elapsed_tenths(seconds: Column) -> Column:
+    """Seconds to one place, halves to the even digit."""
+    return F.bround(seconds, 1)

@@ -57,3 +57,26 @@ def page(files: DataFrame, path: str) -> DataFrame:
     """(path, summary, original) of one page; none for a path that leaves the root."""
     safe = files.where((F.col("path") == path) & ~P.unsafe(F.lit(path)))
     return safe.select("path", M.summary_part(F.col("content")).alias("summary"), F.col("content").alias("original"))
+
+
+def sources_listing(components: DataFrame) -> DataFrame:
+    """(name, components, model, generated_at) of components (name, model, generated_at): the newest state of each source.
+
+    Of states of one time that with the greatest model name counts."""
+    newest = F.max(F.struct("generated_at", "model"))
+    return components.groupBy("name").agg(F.count(F.lit(1)).alias("components"), newest.alias("_n")).select("name", "components", F.coalesce("_n.model", F.lit("")).alias("model"), "_n.generated_at")
+
+
+def drill_down(files: DataFrame) -> DataFrame:
+    """(path, parent): every page with the page above it: the index, a package, a component, a leaf.
+
+    A page whose next page above is missing goes to the nearest that is there; the index has none."""
+    parts = F.split(P.stem(F.col("path")), "/")
+    top = F.col("path") == "INDEX.md"
+    above = F.when(top, F.array().cast("array<string>")).when(F.size(parts) == 1, F.array(F.lit("INDEX.md"))).otherwise(
+        F.concat(F.array(F.lit("INDEX.md")), F.transform(F.sequence(F.lit(1), F.size(parts) - 1), lambda n: F.concat(F.array_join(F.slice(parts, 1, n), "/"), F.lit(".md"))))
+    )
+    md = files.where(F.endswith("path", F.lit(".md"))).select("path").distinct()
+    links = md.select("path", F.posexplode_outer(above).alias("level", "above"))
+    found = links.join(md.select(F.col("path").alias("_p")), F.col("above") == F.col("_p"), "left")
+    return found.groupBy("path").agg(F.max_by("_p", F.when(F.col("_p").isNotNull(), F.col("level"))).alias("parent"))

@@ -73,3 +73,22 @@ def status_counts(meta: DataFrame, by: str = "source") -> DataFrame:
         F.count(F.lit(1)).alias("n"), F.count_if(F.col("status") == "failed").alias("failed"), F.count_if(F.col("status") == "skipped").alias("skipped"),
         F.count_if(~F.col("status").isin("failed", "skipped")).alias("done"),
     )
+
+
+def derived_status(components: DataFrame, leaves: DataFrame, key: str = "comp_key") -> DataFrame:
+    """(key, status): failed with an error, skipped with a reason, partial with an empty summary among its leaves, else done.
+
+    components: key, error, reason; leaves: key, summary."""
+    bare = leaves.groupBy(key).agg(F.bool_or(F.coalesce(F.btrim("summary"), F.lit("")) == "").alias("_bare"))
+    status = F.when(F.col("error").isNotNull(), "failed").when(F.coalesce("reason", F.lit("")) != "", "skipped").when(F.col("_bare"), "partial").otherwise("done")
+    return components.join(bare, key, "left").select(key, status.alias("status"))
+
+
+def upsert_failed(meta: DataFrame, failed: DataFrame, key: str = "comp_key") -> DataFrame:
+    """meta with a row of status failed for each row of failed (key, error), without hashes, so that it is tried again.
+
+    Columns of meta that failed lacks are null in these rows."""
+    base = meta if "error" in meta.columns else meta.withColumn("error", F.lit(None).cast("string"))
+    rest = [F.col(key), F.lit("failed").alias("status"), F.col("error")]
+    new = failed.select(*rest)
+    return upsert(base, base.limit(0).unionByName(new, allowMissingColumns=True), key)

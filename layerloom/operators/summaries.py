@@ -74,3 +74,14 @@ def component_files(results: DataFrame, threshold: int = 10) -> DataFrame:
 
     own = F.transform(F.filter(F.array_sort(F.map_entries("leaves")), lambda e: M.strip(e["value"]) != ""), lambda e: F.struct(F.concat(base, F.lit("/"), leaf_file(e["key"])).alias("path"), e["value"].alias("content")))
     return results.select(F.explode(F.when(small, F.array(over)).otherwise(F.concat(F.array(over), own))).alias("f")).select("f.*")
+
+
+def directory_contents(batches: DataFrame, entries: DataFrame) -> DataFrame:
+    """(component, batch_idx, content) of batches (component, batch_idx, dirs) that name directories: the entries (component,
+    entry_key, dir, rel, text) of these, in order of their keys. '' and '.' both stand for the directory at the top."""
+    top = lambda c: F.coalesce(F.nullif(F.col(c), F.lit("")), F.lit("."))
+    wanted = batches.select("component", "batch_idx", F.explode("dirs").alias("dir")).select("component", "batch_idx", top("dir").alias("dir")).distinct()
+    found = wanted.join(entries.withColumn("dir", top("dir")), ["component", "dir"])
+    line = F.concat(F.lit("// --- "), "rel", F.lit(" ---\n"), "text", F.lit("\n"))
+    ordered = F.array_sort(F.collect_list(F.struct("entry_key", line.alias("line"))))
+    return found.groupBy("component", "batch_idx").agg(F.array_join(F.transform(ordered, lambda x: x["line"]), "\n").alias("content"))

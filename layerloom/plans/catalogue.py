@@ -708,3 +708,98 @@ def incremental_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = runs.shared_folder(spark, "snapshots")
     newest = runs.merge_snapshots(pages, f"{out}/meta", f"{out}/checkpoint", "comp_key")
     return spark.read.parquet(f"{out}/meta/{newest}")
+
+
+# Listings, states and small functions
+
+
+@query("""WITH c AS (SELECT n_name AS name, o_orderpriority AS model, o_orderdate AS generated_at FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey),
+r AS (SELECT *, row_number() OVER (PARTITION BY name ORDER BY generated_at DESC, model DESC) AS k, count(*) OVER (PARTITION BY name) AS components FROM c)
+SELECT name, components::BIGINT AS components, model, generated_at FROM r WHERE k = 1""")
+def sources_listing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    o, c, n = (table(spark, sf_dir, t) for t in ("orders", "customer", "nation"))
+    rows = o.join(c, F.col("o_custkey") == F.col("c_custkey")).join(n, F.col("c_nationkey") == F.col("n_nationkey"))
+    return browse.sources_listing(rows.select(F.col("n_name").alias("name"), F.col("o_orderpriority").alias("model"), F.col("o_orderdate").alias("generated_at")))
+
+
+@query("""WITH p AS (SELECT 'INDEX.md' AS path UNION ALL SELECT r_name || '.md' FROM region WHERE r_regionkey <> 2 UNION ALL SELECT r_name || '/' || n_name || '.md' FROM nation JOIN region ON n_regionkey = r_regionkey WHERE n_nationkey % 3 <> 0
+  UNION ALL SELECT r_name || '/' || n_name || '/' || c_custkey || '.md' FROM customer JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey)
+SELECT p.path, CASE WHEN p.path = 'INDEX.md' THEN NULL ELSE coalesce(c.path, k.path, 'INDEX.md') END AS parent FROM p
+LEFT JOIN p c ON len(string_split(p.path, '/')) = 3 AND c.path = split_part(p.path, '/', 1) || '/' || split_part(p.path, '/', 2) || '.md'
+LEFT JOIN p k ON len(string_split(p.path, '/')) > 1 AND k.path = split_part(p.path, '/', 1) || '.md'""")
+def drill_down(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Leaves, components and packages of a knowledge base of customers, some of whose upper pages are missing."""
+    c, n, r = (table(spark, sf_dir, t) for t in ("customer", "nation", "region"))
+    named = n.join(r, F.col("n_regionkey") == F.col("r_regionkey"))
+    leaves = c.join(named, F.col("c_nationkey") == F.col("n_nationkey")).select(F.concat("r_name", F.lit("/"), "n_name", F.lit("/"), F.col("c_custkey").cast("string"), F.lit(".md")).alias("path"))
+    parts = named.where("n_nationkey % 3 <> 0").select(F.concat("r_name", F.lit("/"), "n_name", F.lit(".md")).alias("path"))
+    tops = r.where("r_regionkey <> 2").select(F.concat("r_name", F.lit(".md")).alias("path")).unionByName(spark.createDataFrame([("INDEX.md",)], "path string"))
+    return browse.drill_down(leaves.unionByName(parts).unionByName(tops))
+
+
+@query(f"""WITH {V.SQL_FILES}, c AS (SELECT doc_id % 500 AS comp_key, CASE WHEN doc_id % 500 % 11 = 0 THEN 'timeout' END AS error, CASE WHEN doc_id % 500 % 7 = 0 THEN 'tokens_below_threshold' ELSE '' END AS reason, content FROM f)
+SELECT comp_key, CASE WHEN max(error) IS NOT NULL THEN 'failed' WHEN max(reason) <> '' THEN 'skipped' WHEN bool_or(trim(content) = '') OR comp_key % 5 = 0 THEN 'partial' ELSE 'done' END AS status FROM c GROUP BY comp_key""")
+def derived_status(spark: SparkSession, sf_dir: str) -> DataFrame:
+    f = V.files(spark, sf_dir).withColumn("comp_key", F.col("doc_id") % 500)
+    k = F.col("comp_key")
+    comps = f.select("comp_key").distinct().select("comp_key", F.when(k % 11 == 0, "timeout").alias("error"), F.when(k % 7 == 0, "tokens_below_threshold").otherwise("").alias("reason"))
+    leaves = f.select("comp_key", F.when(k % 5 == 0, "  ").otherwise(F.col("content")).alias("summary"))
+    return changes.derived_status(comps, leaves)
+
+
+@query(f"""WITH {V.SQL_META}, b AS (SELECT comp_key, 'error ' || doc_id AS error FROM cur WHERE doc_id % 4 = 1)
+SELECT comp_key, status, source_hash, NULL::VARCHAR AS error FROM meta WHERE comp_key NOT IN (SELECT comp_key FROM b) UNION ALL SELECT comp_key, 'failed', NULL, error FROM b""")
+def failed_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
+    bad = V.current_components(spark, sf_dir).where("doc_id % 4 = 1").select("comp_key", F.concat(F.lit("error "), F.col("doc_id").cast("string")).alias("error"))
+    return changes.upsert_failed(V.previous_meta(spark, sf_dir).select("comp_key", "status", "source_hash"), bad)
+
+
+@query(f"""WITH {V.SQL_FILES} SELECT package AS component, 0::BIGINT AS batch_idx, string_agg('// --- ' || rel || ' ---' || chr(10) || content || chr(10), chr(10) ORDER BY doc_id) AS content FROM f WHERE dir IN ('en', 'de') GROUP BY package""")
+def directory_contents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    f = scan.with_names(V.files(spark, sf_dir))
+    batches = f.select(F.col("package").alias("component")).distinct().select("component", F.lit(0).cast("long").alias("batch_idx"), F.array(F.lit("en"), F.lit("de"), F.lit("")).alias("dirs"))
+    return summaries.directory_contents(batches, f.select(F.col("package").alias("component"), F.col("doc_id").alias("entry_key"), "dir", "rel", F.col("content").alias("text")))
+
+
+@query("""SELECT page_id, CASE WHEN page_id % 3 = 0 THEN '<img alt="a" src="/abs.png"><img src="/assets/kb/x.png">' ELSE '<img alt="a" src="/abs.png"><img src="/assets/kb/dir' || page_id || '/x.png">' END
+  || '<img src="https://h/y.png">' AS html FROM pages""")
+def asset_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    folder = F.when(F.col("page_id") % 3 == 0, ".").otherwise(F.concat(F.lit("dir"), F.col("page_id").cast("string")))
+    return table(spark, sf_dir, "pages").select("page_id", H.asset_sources(F.lit('<img alt="a" src="/abs.png"><img src="x.png"><img src="https://h/y.png">'), F.lit("kb"), folder).alias("html"))
+
+
+@query("""SELECT page_id, replace(url_encode(html), '%2F', '/') AS quoted, html AS back FROM pages""")
+def url_quoting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    quoted = H.url_quote(F.col("html"))
+    return table(spark, sf_dir, "pages").select("page_id", quoted.alias("quoted"), H.url_unquote(quoted).alias("back"))
+
+
+@query("""SELECT event_id, coalesce(CASE WHEN event_id % 3 = 0 THEN value END, 3.5) AS cpt, round_even(value, 1) AS elapsed FROM events""")
+def token_figures(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = table(spark, sf_dir, "events")
+    return e.select("event_id", T.chars_per_token(F.when(F.col("event_id") % 3 == 0, F.col("value")), F.lit(3.5)).alias("cpt"), T.elapsed_tenths(F.col("value")).alias("elapsed"))
+
+
+@query("""SELECT p_partkey, CASE WHEN p_partkey % 2 = 0 THEN '.html,.pdf' ELSE '.html' END AS need FROM part""")
+def converted_extensions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    given = F.when(F.col("p_partkey") % 2 == 0, F.array(*map(F.lit, (".pdf", ".md", ".html", ".txt")))).otherwise(F.array(*map(F.lit, (".txt", ".html"))))
+    return table(spark, sf_dir, "part").select("p_partkey", F.array_join(P.converted_extensions(given), ",").alias("need"))
+
+
+@query("""SELECT col0 AS path, col1 AS kept FROM (VALUES ('p/build/y.py', true), ('p/bin/a.c', true), ('p/.git/x.py', false), ('p/node_modules/z.js', false), ('p/__pypackages__/q.py', false), ('p/src/vendor/v.cpp', true),
+  ('p/env/e.py', false), ('p/src/w.svg', false), ('p/src/u.uasset', false), ('p/src/__init__.py', true))""")
+def skipped_dirs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Which paths a scan keeps: directories and suffixes of the fixed lists."""
+    names = ("p/build/y.py", "p/bin/a.c", "p/.git/x.py", "p/node_modules/z.js", "p/__pypackages__/q.py", "p/src/vendor/v.cpp", "p/env/e.py", "p/src/w.svg", "p/src/u.uasset", "p/src/__init__.py")
+    rows = spark.createDataFrame([(n,) for n in names], "rel string").withColumn("content", F.lit("x"))
+    kept = scan.included(rows, (*P.CODE_EXTENSIONS, ".svg", ".uasset")).select("rel", F.lit(True).alias("k"))
+    return rows.join(kept, "rel", "left").select(F.col("rel").alias("path"), F.coalesce("k", F.lit(False)).alias("kept"))
+
+
+@query("""SELECT doc_id, length(replace(coalesce(text, ''), chr(0), '')) + 2 AS chars FROM documents""")
+def scan_decoded(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Texts as bytes with two stray ones, decoded with replacement."""
+    from layerloom.sources.files import decoded
+
+    raw = F.concat(F.lit(b"\xff"), F.encode(F.replace(F.coalesce("text", F.lit("")), F.lit("\x00"), F.lit("")), "UTF-8"), F.lit(b"\xc3"))
+    return table(spark, sf_dir, "documents").select("doc_id", F.length(decoded(raw)).cast("long").alias("chars"))

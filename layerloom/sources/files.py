@@ -5,7 +5,7 @@ from __future__ import annotations
 import re
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from layerloom.functions.paths import MAX_CODE_BYTES, MAX_DOCUMENT_BYTES, extension, line_count
@@ -13,6 +13,11 @@ from layerloom.functions.paths import MAX_CODE_BYTES, MAX_DOCUMENT_BYTES, extens
 COLUMNS = ("source", "package", "rel", "content")
 
 
+def decoded(data: Column) -> Column:
+    """Bytes as UTF-8 text, with a replacement character for what is not."""
+    return F.make_valid_utf8(data.cast("string"))
+
+
 def code_files(spark: SparkSession, root: str, source: str, max_bytes: int = MAX_CODE_BYTES) -> DataFrame:
     """(source, package, rel, size, mtime, content) of all files up to a size; the size filter reaches the scan.
 
@@ -26,7 +31,7 @@ def code_files(spark: SparkSession, root: str, source: str, max_bytes: int = MAX
         F.when(F.contains(below, F.lit("/")), F.regexp_replace(below, "^[^/]*/", "")).otherwise(below).alias("rel"),
         F.col("length").alias("size"),
         F.unix_micros("modificationTime").cast("double").alias("_us"),
-        F.make_valid_utf8(F.col("content").cast("string")).alias("content"),
+        decoded(F.col("content")).alias("content"),
     ).withColumn("mtime", F.col("_us") / 1e6).drop("_us")
 
 
