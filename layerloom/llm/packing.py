@@ -9,7 +9,7 @@ At the end of a task (or where it holds more than ``max_open`` partly filled win
 are poured into full windows, cut where needed; what remains at the end fills windows of powers of two, which need no
 padding. So no id of a task is lost and padding stays at zero however few rows a task has.
 
-Nulls, edges: a null or empty text is one end id. Texts of any length are encoded whole. Rows that repeat an id are
+Nulls, edges: a null or empty text is one end id. Texts of any length are encoded whole, by any tokenizers file. Rows that repeat an id are
 packed one by one. An empty table gives no pieces. Extra columns are not read.
 """
 
@@ -18,20 +18,26 @@ from __future__ import annotations
 import functools
 import json
 import os
+import re
 import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import regex
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
+from layerloom.llm.arrays import slices, trimmed
+
 CAPACITY = 4096
 END_ID = 2
 MAX_OPEN = 1024
-CACHED_CHUNKS = 250_000
-_PLAIN = regex.compile(r"[\x21-\x7e\u00c0-\u012f\u0131-\u0148\u014a-\u017e]*")
+CACHED_WORDS = 250_000
+# Fixed value: the split pattern of the tokenizers file that the short cut is for.
+SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+#: What it comes to over lower-cased texts of _PLAIN characters.
+_WORDS = re.compile(r"[a-z\u00df-\u00f6\u00f8-\u017e]+|'(?:s|t|re|ve|m|ll|d)|[0-9]|[^\sa-z\u00df-\u00f6\u00f8-\u017e0-9]+")
+_PLAIN = re.compile(r"[\n\x20-\x7e\u00c0-\u012f\u0131-\u0148\u014a-\u017e]*")
 PIECES = "start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, sequence_tokens long"
 
 
@@ -42,12 +48,64 @@ def _byte_table() -> dict[int, int]:
     return {x: 256 + i for i, x in enumerate(rest)}
 
 
+class Merges:
+    """The merge table of a byte-level BPE with word ends, for many words at once.
+
+    All words go through the same rounds: each looks up its neighbouring symbols, and merges all places of its pair of
+    least rank from the left. A merge comes after those that make its parts, so that is what one merge at a time gives."""
+
+    def __init__(self, vocab: dict[str, int], merges: list, suffix: str):
+        self.size = max(vocab.values()) + 1
+        pairs = [tuple(m.split(" ")) if isinstance(m, str) else tuple(m) for m in merges]
+        key = np.array([vocab[a] * self.size + vocab[b] for a, b in pairs], dtype=np.int64)
+        order = np.argsort(key)
+        self.keys, self.ranks, self.made = key[order], order, np.array([vocab[a + b] for a, b in pairs], dtype=np.int64)[order]
+        self.inner, self.last = (np.array([vocab.get(chr(c) + end, -1) for c in range(512)], dtype=np.int64) for end in ("", suffix))
+
+    def __call__(self, words: list[str]) -> list[bytes]:
+        """The ids of words, none empty, in the byte-level alphabet."""
+        chars = np.frombuffer("".join(words).encode("utf-32-le"), dtype="<u4")
+        sizes = np.fromiter(map(len, words), dtype=np.int64, count=len(words))
+        ids, word = self.inner[chars], np.repeat(np.arange(len(words)), sizes)
+        end = np.cumsum(sizes) - 1
+        ids[end] = self.last[chars[end]]
+        done: list[tuple[np.ndarray, np.ndarray]] = []
+        while len(ids):
+            at = np.flatnonzero(word[:-1] == word[1:])
+            key = ids[at] * self.size + ids[at + 1]
+            found = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
+            hit = self.keys[found] == key
+            at, found = at[hit], found[hit]
+            rank, own = self.ranks[found], word[at]
+            first = np.flatnonzero(np.diff(own, prepend=-1))
+            open_ = np.zeros(len(words), dtype=bool)
+            open_[own] = True
+            going = open_[word]
+            done.append((word[~going], ids[~going]))
+            if not len(at):
+                break
+            least = np.minimum.reduceat(rank, first)
+            best = rank == np.repeat(least, np.diff(np.r_[first, len(own)]))
+            at, found = at[best], found[best]
+            run = np.flatnonzero(np.diff(at, prepend=-2) != 1)  # of overlapping places every second one
+            even = (np.arange(len(at)) - np.repeat(run, np.diff(np.r_[run, len(at)]))) % 2 == 0
+            at, found = at[even], found[even]
+            ids[at] = self.made[found]
+            going[at + 1] = False
+            ids, word = ids[going], word[going]
+        word, ids = (np.concatenate(x) for x in zip(*done, strict=True))
+        order = np.argsort(word, kind="stable")
+        data, cut = ids[order].astype("<u4").tobytes(), (4 * np.searchsorted(word[order], np.arange(len(words) + 1))).tolist()
+        return [data[x:y] for x, y in zip(cut[:-1], cut[1:], strict=True)]
+
+
 class Encoder:
     """Ids by a tokenizers file.
 
-    Its pre-tokenizer never joins across white space, so a text is the sum of its chunks, and most chunks are found in
-    a bounded memo. A new chunk of plain Latin letters and ASCII signs is split by the pre-tokenizer's own pattern and
-    given word by word to the merge table; any other chunk goes through the whole tokenizer.
+    A text of plain Latin letters and ASCII signs is split by the pre-tokenizer's own pattern; most words are found in a
+    bounded memo, and the new ones of some texts go through the merge table together. Of other texts only the chunks
+    between white space that have other characters go through the whole tokenizer, which never joins across white space.
+    With files of other kinds every text goes through the whole tokenizer.
     """
 
     def __init__(self, path: str):
@@ -55,50 +113,69 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.memo: dict[str, bytes] = {}
-        self.old: dict[str, bytes] = {}
-        self.words: dict[str, bytes] = {}
-        self.plain = self._plain_pattern(path)
+        self.memo: dict[str | int, bytes] = {}
+        self.old: dict[str | int, bytes] = {}
+        self.plain, self.merges = self._plain_pattern()
         self.bytes = _byte_table()
 
-    def _plain_pattern(self, path: str) -> regex.Pattern | None:
-        """The split pattern, if the file is of the kind that the short cut is right for."""
+    def _plain_pattern(self) -> tuple[re.Pattern | None, Merges | None]:
+        """The split pattern and the merge table, if the file is of the kind that the short cut is right for."""
         spec = json.loads(self.tokenizer.to_str())
-        norm, pre = spec.get("normalizer") or {}, spec.get("pre_tokenizer") or {}
+        norm, pre, model = spec.get("normalizer") or {}, spec.get("pre_tokenizer") or {}, spec["model"]
         kinds = [[x["type"] for x in y.get(k, [])] for y, k in ((norm, "normalizers"), (pre, "pretokenizers"))]
-        if kinds != [["NFC", "Replace", "Lowercase"], ["Split", "ByteLevel"]] or spec["model"]["type"] != "BPE":
-            return None
+        if kinds != [["NFC", "Replace", "Lowercase"], ["Split", "ByteLevel"]] or model["type"] != "BPE":
+            return None, None
         split = pre["pretokenizers"][0]
-        return regex.compile(split["pattern"]["Regex"]) if split["behavior"] == "Removed" and split["invert"] else None
-
-    def _word(self, word: str) -> bytes:
-        shown = word if word.isascii() else word.encode().decode("latin-1").translate(self.bytes)
-        out = np.array([t.id for t in self.tokenizer.model.tokenize(shown)], dtype="<u4").tobytes()
-        if len(word) <= 64:
-            self.words[word] = out
-        return out
-
-    def _chunk(self, chunk: str) -> bytes:
-        if self.plain and len(chunk) < 1024 and _PLAIN.fullmatch(chunk) and "<|" not in chunk:
-            known = self.words
-            return b"".join([known.get(w) or self._word(w) for w in self.plain.findall(chunk.lower())])
-        return np.array(self.tokenizer.encode(chunk, add_special_tokens=False).ids, dtype="<u4").tobytes()
-
-    def __call__(self, text: str | None, end: int) -> np.ndarray:
-        parts = (text or "").replace("\n", " ").split(" ")
-        if len(self.memo) > CACHED_CHUNKS:  # two generations: what is still in use moves to the newer one
-            self.memo, self.old = {}, self.memo
-        if len(self.words) > CACHED_CHUNKS:
-            self.words.clear()
+        if split["pattern"].get("Regex") != SPLIT:
+            return None, None
+        simple = not (model.get("dropout") or model.get("continuing_subword_prefix") or model.get("ignore_merges"))
+        if split["behavior"] != "Removed" or not split["invert"] or not simple or not model.get("end_of_word_suffix"):
+            return None, None
+        return _WORDS, Merges(model["vocab"], model["merges"], model["end_of_word_suffix"])
+
+    def _whole(self, text: str) -> bytes:
+        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
+
+    def _learn(self, new: set[str]) -> None:
+        """Put the ids of words into the memo."""
         memo, old = self.memo, self.old
-        new = set(parts).difference(memo)
-        for chunk in new:
-            memo[chunk] = old.get(chunk) or self._chunk(chunk)
-        ids = b"".join(map(memo.__getitem__, parts))
-        for chunk in new:
-            if len(chunk) > 64:
-                del memo[chunk]
-        return np.frombuffer(ids + end.to_bytes(4, "little"), dtype="<u4")
+        kept = new & old.keys()
+        memo.update(zip(kept, map(old.__getitem__, kept), strict=True))
+        due = list(new - kept)
+        if due:
+            memo.update(zip(due, self.merges([w if w.isascii() else w.encode().decode("latin-1").translate(self.bytes) for w in due]), strict=True))
+
+    def __call__(self, texts: list[str | None], end: int) -> list[np.ndarray]:
+        """The ids of each text, with the end id."""
+        last = end.to_bytes(4, "little")
+        if not self.plain:
+            return [np.frombuffer(self._whole(t or "") + last, dtype="<u4") for t in texts]
+        if len(self.memo) > CACHED_WORDS:  # two generations: what is still in use moves to the newer one
+            self.memo, self.old = {}, self.memo
+        memo, split, odd = self.memo, self.plain.findall, {}
+        words: list[list[str]] = []
+        for t in texts:
+            t = t or ""
+            if _PLAIN.fullmatch(t) and "<|" not in t:
+                words.append(split(t.lower()))
+            else:
+                chunks = []
+                for chunk in t.replace("\n", " ").split(" "):
+                    if _PLAIN.fullmatch(chunk) and "<|" not in chunk:
+                        chunks += split(chunk.lower())
+                    else:
+                        odd[len(odd)] = self._whole(chunk)
+                        chunks.append(len(odd) - 1)
+                words.append(chunks)
+        new = set().union(*words).difference(memo, odd)
+        self._learn(new)
+        memo.update(odd)
+        out = [np.frombuffer(b"".join(map(memo.__getitem__, ws)) + last, dtype="<u4") for ws in words]
+        for w in odd:
+            del memo[w]
+        for w in [w for w in new if len(w) > 64]:
+            del memo[w]
+        return out
 
 
 @functools.lru_cache(maxsize=4)
@@ -216,11 +293,12 @@ def pack(docs: DataFrame, tokenizer: str, key: str = "doc_id", text: str = "text
 
         for b in batches:
             key_type = b.column(0).type
-            for doc, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                ids = encode(t, end_id)
-                packer.add((doc, len(ids)), ids)
-            yield from give(4096)
+            keys, texts = b.column(0).to_pylist(), b.column(1).to_pylist()
+            for some in slices([len(t or "") for t in texts]):
+                for i, ids in zip(some, encode([texts[i] for i in some], end_id), strict=True):
+                    packer.add((keys[i], len(ids)), ids)
+                yield from give(4096)
         packer.finish()
         yield from give(0)
 
-    return docs.select(key, text).mapInArrow(part, schema)
+    return docs.select(key, text).mapInArrow(trimmed(part), schema)
