@@ -208,7 +208,7 @@ def _prefix_keys(texts: DataFrame, often, similarity: float) -> DataFrame:
 
 
 def _prefix_docs(texts: DataFrame, often, held, similarity: float) -> DataFrame:
-    """(did, r1, r2, n, keys, sketch): the documents that share a shingle of their prefix, by a hash of their shingle set.
+    """(did, r1, r2, n, keys, places, sketch): the documents that share shingles (keys, at places) of their prefix, by a hash of their shingle set.
 
     The sketch is the parity of the shingles that fall on each of its bits, so two sketches differ in no more bits than
     their sets have different shingles."""
@@ -217,11 +217,13 @@ def _prefix_docs(texts: DataFrame, often, held, similarity: float) -> DataFrame:
     def part(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         level = held.value
         for b in batches:
-            rows, ids, sizes, keys, sketches = [], [], [], [], []
+            rows, ids, sizes, keys, places, sketches = [], [], [], [], [], []
             for i, x in _sets(b):
                 shared = prefix(x, often.value, similarity)
-                shared = shared[level.has(shared)]
+                at = np.flatnonzero(level.has(shared))
+                shared = shared[at]
                 if len(shared):
+                    places.append(at)
                     rows.append(i)
                     ids.append(_identity(x))
                     sizes.append(len(x))
@@ -229,10 +231,11 @@ def _prefix_docs(texts: DataFrame, often, held, similarity: float) -> DataFrame:
                     sketches.append(np.packbits(np.bincount((x >> np.uint64(32)).astype(np.int64) % (64 * len(SKETCH)), minlength=64 * len(SKETCH)) & 1).tobytes())
             id_ = np.frombuffer(b"".join(ids), np.int64).reshape(-1, 2)
             sketch = np.frombuffer(b"".join(sketches), np.int64).reshape(-1, len(SKETCH))
-            lists = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, keys)]), pa.int32()), pa.array(np.concatenate([np.zeros(0, np.int64), *keys])))
-            yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(rows, pa.int64())), pa.array(id_[:, 0]), pa.array(id_[:, 1]), pa.array(sizes, pa.int32()), lists, *map(pa.array, sketch.T.copy())], names=["did", "r1", "r2", "n", "keys", *SKETCH])
+            cut = pa.array(np.cumsum([0, *map(len, keys)]), pa.int32())
+            lists = [pa.ListArray.from_arrays(cut, pa.array(np.concatenate([np.zeros(0, np.int64), *x]).astype(k))) for x, k in ((keys, np.int64), (places, np.int32))]
+            yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(rows, pa.int64())), pa.array(id_[:, 0]), pa.array(id_[:, 1]), pa.array(sizes, pa.int32()), *lists, *map(pa.array, sketch.T.copy())], names=["did", "r1", "r2", "n", "keys", "places", *SKETCH])
 
-    return texts.select("did", "text").mapInArrow(trimmed(part), f"did {kind}, r1 long, r2 long, n int, keys array<long>, " + ", ".join(f"{x} long" for x in SKETCH))
+    return texts.select("did", "text").mapInArrow(trimmed(part), f"did {kind}, r1 long, r2 long, n int, keys array<long>, places array<int>, " + ", ".join(f"{x} long" for x in SKETCH))
 
 
 def _sets_named(texts: DataFrame, held) -> DataFrame:
@@ -265,33 +268,40 @@ def similar_links(docs: DataFrame, key: str = "doc_id", text: str = "text", simi
     bounded Bloom filter carries those of several documents to the next, which keeps the documents that have one.
     Documents with equal sets are linked and go on as one. First each document is held against the first one at each of
     its shingles. What these edges and the known ones (u, v) connect is one component; then all documents at a shingle
-    that are in different components are held against each other, in blocks. Pairs whose sizes or sketches rule out the
-    similarity end there; for the others the sets are read and decide."""
+    that are in different components are held against each other, in blocks. Pairs whose sizes, places or sketches
+    rule out the similarity end there; for the others the sets are read and decide."""
     texts = docs.where(F.col(key).isNotNull()).select(F.col(key).alias("did"), F.col(text).alias("text"))
     often = docs.sparkSession.sparkContext.broadcast(_often(texts))
     shared = stored(_prefix_keys(texts, often, similarity).groupBy("key").agg(F.sum("n").alias("n")).where("n > 1").select(F.col("key").alias("h")), "shared-shingles")
     held = _filter(shared, 5)
     release(shared)
     found = stored(_prefix_docs(texts, often, held, similarity), "prefix-docs")
-    rest = [F.first(c).alias(c) for c in ("n", "keys", *SKETCH)]
+    rest = [F.first(c).alias(c) for c in ("n", "keys", "places", *SKETCH)]
     sets = stored(found.groupBy("r1", "r2").agg(F.min("did").alias("did"), *rest), "first-sets")
     equal = found.select("did", "r1", "r2").join(sets.select("r1", "r2", F.col("did").alias("v")), ["r1", "r2"]).where("did <> v").select(F.col("did").alias("u"), "v").distinct()
     equal = stored(equal, "equal-sets")
     release(found)
-    rows = stored(sets.select("did", "r1", "r2", F.explode("keys").alias("seg")), "prefixes")
-    least = rows.groupBy("seg").agg(F.min(F.struct("did", "r1", "r2")).alias("f"), F.count(F.lit(1)).alias("k")).where("k > 1").select("seg", F.col("f.r1").alias("o1"), F.col("f.r2").alias("o2"))
-    met = rows.join(least, "seg").where("r1 <> o1 or r2 <> o2").select("r1", "r2", "o1", "o2").distinct()
+    half = len(SKETCH) // 2
+    folded = [F.col(SKETCH[i]).bitwiseXOR(F.col(SKETCH[i + half])).alias(f"q{i}") for i in range(half)]
+    rows = stored(sets.select("did", "r1", "r2", "n", F.explode(F.arrays_zip("keys", "places")).alias("e"), *folded).select("did", "r1", "r2", "n", F.col("e.keys").alias("seg"), F.col("e.places").alias("at"), *[f"q{i}" for i in range(half)]), "prefixes")
+    least = rows.groupBy("seg").agg(F.min(F.struct("did", "r1", "r2", "n")).alias("f"), F.count(F.lit(1)).alias("k")).where("k > 1").select("seg", F.col("f.r1").alias("o1"), F.col("f.r2").alias("o2"), F.col("f.n").alias("m"))
+    near = F.least("n", "m") >= similarity * F.greatest("n", "m")
+    met = rows.join(least, "seg").where(near & ((F.col("r1") != F.col("o1")) | (F.col("r2") != F.col("o2")))).select("r1", "r2", "o1", "o2").distinct()
     one = stored(_similar(met, sets, texts, similarity).unionByName(equal), "first-links")
     release(equal)
     named = stored(components(one if known is None else one.unionByName(known.select("u", "v"))), "first-components")
-    labelled = rows.join(small(named), F.col("did") == F.col("node"), "left").select("seg", "did", "r1", "r2", F.coalesce("component", "did").alias("comp"))
+    labelled = rows.join(small(named), F.col("did") == F.col("node"), "left").withColumn("comp", F.coalesce("component", "did")).drop("node", "component")
     mixed = labelled.groupBy("seg").agg(F.min("comp").alias("a"), F.max("comp").alias("z"), F.count(F.lit(1)).alias("k")).where("a < z").select("seg", F.ceil(F.col("k") / BLOCK).cast("int").alias("blocks"))
     members = stored(labelled.join(mixed, "seg"), "mixed-prefixes")
     release(rows)
     release(named)
     mine = members.withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).drop("blocks")
-    theirs = members.select("seg", F.expr("cast(pmod(xxhash64(r1), blocks) as int)").alias("block"), F.col("did").alias("v"), F.col("r1").alias("o1"), F.col("r2").alias("o2"), F.col("comp").alias("other"))
-    across = mine.join(theirs, ["seg", "block"]).where((F.col("did") > F.col("v")) & (F.col("comp") != F.col("other"))).select("r1", "r2", "o1", "o2").distinct()
+    theirs = members.select("seg", F.expr("cast(pmod(xxhash64(r1), blocks) as int)").alias("block"), F.col("did").alias("v"), F.col("r1").alias("o1"), F.col("r2").alias("o2"), F.col("n").alias("m"), F.col("at").alias("_at"), F.col("comp").alias("other"), *[F.col(f"q{i}").alias(f"_q{i}") for i in range(half)])
+    # at the first shingle that two sets share, all that they share is still to come
+    total, left = F.col("n") + F.col("m"), F.least(F.col("n") - F.col("at"), F.col("m") - F.col("_at"))
+    differ = sum((F.bit_count(F.col(f"q{i}").bitwiseXOR(F.col(f"_q{i}"))) for i in range(half)), F.lit(0))
+    may = near & (left * (1 + similarity) >= total * similarity - 1e-9) & (differ * (1 + similarity) <= total * (1 - similarity) + 1e-9)
+    across = mine.join(theirs, ["seg", "block"]).where((F.col("did") > F.col("v")) & (F.col("comp") != F.col("other")) & may).select("r1", "r2", "o1", "o2").distinct()
     out = stored(one.unionByName(_similar(across, sets, texts, similarity)), "similar-links")
     for t in (members, one, sets):
         release(t)
