@@ -14,6 +14,7 @@ SPACE = "[ \\x09-\\x0D]"
 
 #: Rows up to which a lookup table is broadcast; beyond it the join is shuffled. At 100 bytes a row this is 5 MB.
 BROADCAST_ROWS = 50_000
+BROADCAST_BYTES = 16 << 20
 
 
 def scratch_dir(spark: SparkSession) -> str:
@@ -54,9 +55,18 @@ def release(df: DataFrame) -> None:
 
 
 def small(df: DataFrame, rows: int | None = None, most: int = BROADCAST_ROWS) -> DataFrame:
-    """df with a broadcast hint if it has at most that many rows (counted here unless given); else df, whose joins shuffle."""
+    """df with a broadcast hint if it has at most that many rows (counted here unless given) and BROADCAST_BYTES; else df, whose joins shuffle.
+
+    The bytes are those of the files that stored() wrote, or else the rows by the widths of their types."""
     n = df.count() if rows is None else rows
-    return F.broadcast(df) if n <= most else df
+    path = getattr(df, "_layerloom_path", None)
+    size = _file_bytes(df.sparkSession, path) if path else n * df._jdf.schema().defaultSize()
+    return F.broadcast(df) if n <= most and size <= BROADCAST_BYTES else df
+
+
+def _file_bytes(spark: SparkSession, path: str) -> int:
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return where.getFileSystem(spark._jsc.hadoopConfiguration()).getContentSummary(where).getLength()
 
 
 def unused(df: DataFrame, name: str) -> str:

@@ -19,7 +19,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from layerloom.llm.common import let, release, small, stored
+from layerloom.llm.common import let, release, small, stored, unused
 
 WINDOW = 10
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -119,6 +119,8 @@ def contamination(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", te
 
 
 def keep_clean(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str = "text", **options) -> DataFrame:
-    """docs without the rows whose key has a contaminated row."""
-    found = contamination(docs, benchmark, key, text, **options)
-    return docs.join(small(stored(found.where("contaminated").select(key).distinct(), "contaminated")), key, "left_anti")
+    """docs without the contaminated rows. A row's own text decides, so keys may be null or repeat with other texts."""
+    texts = docs.select(F.xxhash64(F.col(text)).alias("th"), F.col(text).alias("text"))
+    found = contamination(texts, benchmark, "th", "text", **options).where("contaminated").select(F.col("th").alias(unused(docs, "th"))).distinct()
+    gone = stored(found, "contaminated")
+    return docs.join(small(gone), F.xxhash64(F.col(text)) == F.col(gone.columns[0]), "left_anti")

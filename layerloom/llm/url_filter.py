@@ -78,10 +78,11 @@ class Cascade:
         return out
 
 
-def build_cascade(listed: DataFrame, universe: DataFrame, max_levels: int = 64) -> Cascade:
+def build_cascade(listed: DataFrame, universe: DataFrame, max_levels: int = 64, max_bytes: int | None = None) -> Cascade | None:
     """listed and universe: distinct keys with their hash h (long). Keys of one hash count as one key.
 
-    Each level's filter is built over executors; the driver holds only bit arrays.
+    Each level's filter is built over executors; the driver holds only bit arrays. A level's size follows from its keys;
+    where the levels would come to more than max_bytes, there is no cascade (None), and that level is not even begun.
     """
     inside = listed.select("h").distinct()
     outside = universe.select("h").distinct().join(inside, "h", "left_anti")
@@ -92,6 +93,8 @@ def build_cascade(listed: DataFrame, universe: DataFrame, max_levels: int = 64)
     levels: list[Level] = []
     encoded, other, n = inside, outside, n_in
     while n and len(levels) < max_levels:
+        if max_bytes is not None and Cascade(levels).bytes + n * -math.log(rate) / math.log(2) ** 2 / 8 > max_bytes:
+            return None
         level = Level(len(levels), n, rate)
         level.fill(encoded)
         levels.append(level)
@@ -137,8 +140,8 @@ def judge(pages: DataFrame, rules: tuple[Rule, ...] = RULES, url: str = "url", d
     plain = pages.drop(*[c for c in ("host", "path", "rule", "verdict", "_keys") if c in pages.columns and c != url])
     keyed = with_keys(plain, rules, url)
     universe = stored(universe_of(keyed).select("h"), "url-universe")
-    cascades = {a: build_cascade(listed_keys(spark, rules, a), universe) for a in ("block", "allow")}
-    if sum(c.bytes for c in cascades.values()) > max_bytes:
+    cascades = {a: build_cascade(listed_keys(spark, rules, a), universe, max_bytes=max_bytes) for a in ("block", "allow")}
+    if any(c is None for c in cascades.values()) or sum(c.bytes for c in cascades.values()) > max_bytes:
         return _judge_by_join(keyed, rules, default)
     held = spark.sparkContext.broadcast(cascades)
 

@@ -129,19 +129,21 @@ def salvage(data: bytes) -> Iterator[dict]:
     """Records (kind record) and quarantined byte gaps (kind gap) of one file, in file order."""
     at, bad, why = 0, None, ""
     while at < len(data):
-        found, end, reason = [], at, "no member or version line"
+        found, end, reason, lost = [], at, "no member or version line", ""
         if data[at : at + 3] == b"\x1f\x8b\x08":
             body, stop = _unzip_from(data, at)
             reason = "bad member"
             if body is not None:
-                inner, end, reason = 0, stop, ""
-                while inner < len(body):
+                inner, end, reason, lost = 0, stop, "", ""
+                while 0 <= inner < len(body):
                     rec, nxt, problem = parse_record(body, inner)
-                    if rec is None:
-                        found, end, reason = [], at, problem
-                        break
-                    found.append(rec)
+                    if rec is None:  # later records of the member may be whole
+                        lost, nxt = lost or problem, body.find(b"WARC/1.", inner + 1)
+                    else:
+                        found.append(rec)
                     inner = nxt
+                if lost and not found:
+                    end, reason = at, lost
         elif data[at : at + 5] == b"WARC/":
             rec, end, reason = parse_record(data, at)
             found = [rec] if rec else []
@@ -155,6 +157,8 @@ def salvage(data: bytes) -> Iterator[dict]:
             bad = None
         for rec in found:
             yield rec | {"kind": "record", "offset": at, "length": end - at}
+        if lost:
+            yield {"kind": "gap", "offset": at, "length": end - at, "reason": f"part of a member: {lost}"}
         at = end
     if bad is not None or not data:
         bad = bad or 0
@@ -194,7 +198,7 @@ def read_archives(spark: SparkSession, path: str, payloads: bool = True) -> Data
                 if rows:
                     yield pa.RecordBatch.from_pylist([{f: x.get(f) for f in fields} for x in rows], schema)
 
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(path)
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
     return files.select("path", "content").mapInArrow(parse, READ_SCHEMA)
 
 

@@ -66,6 +66,19 @@ def test_salvage():
     assert [r["kind"] for r in warc.salvage(b"")] == ["gap"] and [r["kind"] for r in warc.salvage(b"junk" * 9)] == ["gap"]
 
 
+def test_damaged_archives(spark, tmp_path):
+    """Archives of any name and depth, one with a damaged member, one with a bad record between good ones in a member."""
+    made = [warc.record("response", i, "http://x", bytes([65 + i]) * 500, 500, __import__("hashlib").sha256(bytes([65 + i]) * 500).hexdigest(), None) for i in range(6)]
+    (tmp_path / "deep").mkdir()
+    members = [warc.member(r) for r in made[:3]]
+    (tmp_path / "deep" / "CC-1.warc.gz").write_bytes(members[0] + members[1][:40] + b"\xff\xfe" + members[1][42:] + members[2])
+    broken = made[4].replace(b"WARC/1.", b"WORC/1.", 1)
+    (tmp_path / "b.warc.gz").write_bytes(warc.member(made[3] + broken + made[5]))
+    rows = warc.read_archives(spark, str(tmp_path)).collect()
+    assert {r.id for r in rows if r.kind == "record"} == {0, 2, 3, 5}
+    assert sorted((r.path.rsplit("/", 1)[1], r.reason.startswith("part of a member")) for r in rows if r.kind == "gap") == [("CC-1.warc.gz", False), ("b.warc.gz", True)]
+
+
 def test_urls(spark):
     urls = [None, "", "no scheme/net/", "http://EXAMPLE.net/en/x", "http://a.example.net/", "http://anexample.net/en/", "http://x.net", "https://u.org/fr/?q#f", "ftp://b.example.com/de/", "http://b.example.com/d", "a://://net/", "http://net/?x"]
     pages = spark.createDataFrame([(i, u, "clash") for i, u in enumerate(urls)], "page_id long, url string, verdict string")
@@ -214,3 +227,48 @@ def test_sharding(spark, odd, none, tmp_path):
     assert sharding.shuffle_shards(none).count() == 0
     sharding.write_shards(odd, str(tmp_path / "out"), shards=3)
     assert spark.read.parquet(str(tmp_path / "out")).count() == 10
+
+
+def test_encoder(spark):
+    """Words through the merge table against the whole tokenizer, for characters inside and outside of the short cut."""
+    encode, rng = packing.Encoder(tokenizer_path()), random.Random(6)
+    letters = [chr(c) for c in [*range(0x20, 0x7F), *range(0xC0, 0x180), 9, 0x3A9, 0x4E2D]]
+    texts = ["".join(rng.choice(letters if rng.random() < 0.3 else "aabenst' .,1") for _ in range(rng.randrange(80))) for _ in range(600)]
+    texts = [*(t for t in texts if "<|" not in t), "", "a" * 500, "aaa aaaa aaaaa", "<|endoftext|> x", "don't WE'LL ''s", None]
+    for t, ids in zip(texts, encode(texts, 2), strict=True):
+        assert ids.tolist() == [*encode.tokenizer.encode(t or "", add_special_tokens=False).ids, 2]
+
+
+def test_compact_windows():
+    """Windows by the Cartesian tree against their definition."""
+    rng = np.random.default_rng(2)
+    for _ in range(150):
+        n, t = int(rng.integers(0, 50)), int(rng.integers(1, 9))
+        v, want = rng.integers(0, 12, n).astype(np.uint32), set()
+        for c in range(n):
+            l = max([i + 1 for i in range(c) if v[i] <= v[c]], default=0)
+            r = min([i - 1 for i in range(c + 1, n) if v[i] < v[c]], default=n - 1)
+            if r - l + 1 >= t:
+                want.add((l, c, r))
+        assert set(zip(*(x.tolist() for x in substring_dedup.compact_windows(v, t)), strict=True)) == want
+
+
+def test_previous_factors_across_texts():
+    """A window that repeats inside one text and in others, and one that only crosses texts."""
+    got = suffix_dedup.repeated_starts([b"abcdabcd", b"cdab", b"xabcd", b""], 4)
+    assert [x.tolist() for x in got] == [[4], [0], [1], []]
+
+
+def test_repeated_rows_of_substrings(spark):
+    """Rows that repeat key and text are one document: both keep what is theirs first."""
+    long = "the first copy of a text that is long enough to be repeated elsewhere"
+    docs = spark.createDataFrame([(1, long, 5), (1, long, 6), (2, "before " + long, 7)], "doc_id long, text string, did int")
+    got = sorted((r.doc_id, r.did, r.n_removed, r.kept) for r in suffix_dedup.deduplicate(docs, length=20).collect())
+    assert got == [(1, 5, 0, long), (1, 6, 0, long), (2, 7, len(long), "before ")]
+
+
+def test_keep_one_without_keys(spark):
+    text = "one two three four five six seven eight nine ten"
+    docs = spark.createDataFrame([("a", text, 1), ("b", text, 2), (None, text, 3), (None, "other words stay where they are", 4)], "doc_id string, text string, gone int")
+    for similarity in (None, 0.8):
+        assert sorted(r.gone for r in simhash.keep_one(docs, similarity=similarity).collect()) == [1, 4]
