@@ -36,3 +36,8 @@ def parsed(lines: DataFrame) -> DataFrame:
     schema = "event string, index long, in_tokens long, name string, phase string"
     made = lines.select("seq", F.from_json("line", schema).alias("e")).where("e.event IS NOT NULL")
     return made.select("seq", "e.event", F.col("e.index").alias("idx"), F.coalesce("e.in_tokens", F.lit(0)).alias("tokens"), F.coalesce("e.name", "e.phase").alias("name"))
+
+
+def newest_files(files: DataFrame, by: str) -> DataFrame:
+    """(by, path, mtime): of each group's progress files the one changed last, of equal times that with the greatest path."""
+    return files.groupBy(by).agg(F.max(F.struct("mtime", "path")).alias("_n")).select(by, "_n.path", "_n.mtime")

@@ -803,3 +803,20 @@ def scan_decoded(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     raw = F.concat(F.lit(b"\xff"), F.encode(F.replace(F.coalesce("text", F.lit("")), F.lit("\x00"), F.lit("")), "UTF-8"), F.lit(b"\xc3"))
     return table(spark, sf_dir, "documents").select("doc_id", F.length(decoded(raw)).cast("long").alias("chars"))
+
+
+@query("""SELECT p_partkey, CASE p_partkey % 3 WHEN 0 THEN 'llm.base=x,llm.model=new,out=' || p_type WHEN 1 THEN 'llm=off,out=' || p_type ELSE 'llm.base=x,llm.model=' || p_brand || ',out.dir=d' END AS settings FROM part""")
+def layered_settings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from layerloom.functions.config import layered
+
+    k = F.col("p_partkey") % 3
+    base = F.create_map(F.lit("llm.model"), F.col("p_brand"), F.lit("llm.base"), F.lit("x"), F.lit("out"), F.col("p_type"))
+    own = F.when(k == 0, F.create_map(F.lit("llm.model"), F.lit("new"))).when(k == 1, F.create_map(F.lit("llm"), F.lit("off"))).otherwise(F.create_map(F.lit("out.dir"), F.lit("d")))
+    lines = F.transform(F.map_entries(layered(base, own)), lambda e: F.concat(e["key"], F.lit("="), e["value"]))
+    return table(spark, sf_dir, "part").select("p_partkey", F.array_join(F.array_sort(lines), ",").alias("settings"))
+
+
+@query("""SELECT run, path, mtime FROM (SELECT o_custkey AS run, o_orderkey || '.jsonl' AS path, o_orderdate AS mtime, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate DESC, o_orderkey || '.jsonl' DESC) AS k FROM orders) WHERE k = 1""")
+def newest_progress(spark: SparkSession, sf_dir: str) -> DataFrame:
+    files = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("run"), F.concat(F.col("o_orderkey").cast("string"), F.lit(".jsonl")).alias("path"), F.col("o_orderdate").alias("mtime"))
+    return monitor.newest_files(files, "run")

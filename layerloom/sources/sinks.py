@@ -37,3 +37,11 @@ def delete_paths(paths: DataFrame, root: str) -> int:
         at = spark._jvm.org.apache.hadoop.fs.Path(f"{root.rstrip('/')}/{row['path'].rstrip('/')}")
         n += bool(at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True))
     return n
+
+
+def append_events(events: DataFrame, path: str, started: float) -> None:
+    """Append events as JSON lines with ts (UTC) and elapsed (seconds since started, to one place)."""
+    now = F.current_timestamp()
+    elapsed = F.bround(F.unix_micros(now) / 1e6 - F.lit(started), 1)
+    stamped = events.withColumn("ts", F.date_format(F.to_utc_timestamp(now, F.current_timezone()), "yyyy-MM-dd'T'HH:mm:ss.SSSSSS'+00:00'")).withColumn("elapsed", elapsed)
+    stamped.write.mode("append").json(path)

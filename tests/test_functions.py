@@ -151,3 +151,20 @@ def test_events(spark):
     lines = spark.createDataFrame([(1, '{"event":"phase_start","phase":"scan"}'), (2, "broken"), (3, ""), (4, '{"event":"comp_done","index":3,"in_tokens":5}'), (5, '{"event":"finished"}')], "seq long, line string")
     s = monitor.run_state(monitor.parsed(lines)).first()
     assert (s.phase, s.done, s.tokens, s.finished) == ("scan", 3, 5, True)
+
+
+def test_settings():
+    from layerloom.functions.config import merged
+
+    base = {"llm": {"model": "a", "tries": 3}, "out": "x", "keep": [1]}
+    assert merged(base, {"llm": {"model": "b"}, "out": {"dir": "y"}}) == {"llm": {"model": "b", "tries": 3}, "out": {"dir": "y"}, "keep": [1]}
+    assert base["llm"]["model"] == "a" and merged({}, base) == base and merged(base, {"llm": None})["llm"] is None
+
+
+def test_errors_and_bytes(spark):
+    from layerloom.functions.routing import retryable
+    from layerloom.sources.files import decoded
+
+    rows = spark.createDataFrame([("Empty content", None, b"a\xffb"), ("bad key", "RateLimitError", b"\xe2\x82"), ("bad key", "ValueError", b""), ("HTTP 503", None, None)], "m string, k string, b binary")
+    got = rows.select(retryable(F.col("m"), F.col("k")), decoded(F.col("b"))).collect()
+    assert [tuple(r) for r in got] == [(True, "a\ufffdb"), (True, "\ufffd"), (False, ""), (True, None)]

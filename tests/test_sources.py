@@ -40,3 +40,27 @@ def test_snapshots_in_batches(spark, tmp_path):
     runs.merge_snapshots(stream, str(tmp_path / "t"), str(tmp_path / "c"), "k")
     last = max(int(x) for x in os.listdir(tmp_path / "t"))
     assert spark.read.parquet(str(tmp_path / f"t/{last}")).count() == 3
+
+
+def test_bad_bytes_and_folders(spark, tmp_path):
+    """One bad byte costs no file, and folders named build or bin are sources as any other."""
+    from layerloom.functions.paths import CODE_EXTENSIONS
+    from layerloom.operators.scan import included
+    from layerloom.sources.files import code_files
+
+    for name, data in (("p/build/y.py", b"x = 1\xff\n"), ("p/bin/z.c", b"int z;"), ("p/__pypackages__/q.py", b"q"), ("p/env/e.py", b"e")):
+        path = tmp_path / name
+        path.parent.mkdir(parents=True)
+        path.write_bytes(data)
+    rows = included(code_files(spark, str(tmp_path), "s"), CODE_EXTENSIONS).collect()
+    assert {(r.rel, r.content) for r in rows} == {("build/y.py", "x = 1\ufffd\n"), ("bin/z.c", "int z;")}
+
+
+def test_event_sink(spark, tmp_path):
+    from layerloom.sources.sinks import append_events
+
+    events = spark.createDataFrame([("comp_done", 3)], "event string, index long")
+    for _ in range(2):
+        append_events(events, str(tmp_path / "progress"), 0.0)
+    rows = spark.read.json(str(tmp_path / "progress")).collect()
+    assert len(rows) == 2 and all(r.event == "comp_done" and r["index"] == 3 and r.elapsed > 0 and r.ts.endswith("+00:00") for r in rows)
