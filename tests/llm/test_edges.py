@@ -272,3 +272,15 @@ def test_keep_one_without_keys(spark):
     docs = spark.createDataFrame([("a", text, 1), ("b", text, 2), (None, text, 3), (None, "other words stay where they are", 4)], "doc_id string, text string, gone int")
     for similarity in (None, 0.8):
         assert sorted(r.gone for r in simhash.keep_one(docs, similarity=similarity).collect()) == [1, 4]
+
+
+def test_sharding_law(spark):
+    """Key decides: a shard does not depend on texts or other rows, and one more shard takes rows only into itself."""
+    docs = spark.range(400).select(F.col("id").alias("doc_id"), F.repeat(F.lit("x"), (F.col("id") % 50).cast("int")).alias("text"))
+    shards = {r.doc_id: (r.shard, r.grown_shard) for r in sharding.shuffle_shards(docs, shards=5).collect()}
+    grown = {r.doc_id: r.shard for r in sharding.shuffle_shards(docs, shards=6).collect()}
+    part = {r.doc_id: r.shard for r in sharding.shuffle_shards(docs.where("doc_id % 3 = 0").withColumn("text", F.lit("other")), shards=5).collect()}
+    assert {d: g for d, (_, g) in shards.items()} == grown and all(g in (s, 5) for s, g in shards.values())
+    assert all(shards[d][0] == s for d, s in part.items()) and set(grown.values()) == set(range(6))
+    counts = np.bincount([s for s, _ in shards.values()], minlength=5)
+    assert counts.min() > 40 and 30 < sum(g == 5 for g in grown.values()) < 110
