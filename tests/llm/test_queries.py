@@ -39,6 +39,17 @@ def test_op1(spark, sf):
     assert len(rows) == 200 and sum(r.predicted == labels[r.doc_id] for r in held) >= 0.8 * len(held)  # 68 rows to learn from
 
 
+def test_op1_ranks(spark):
+    """Held-out rows of a larger table: better than one answer for all, and the labels' order is found."""
+    sf = "/root/testdata/sf0.01"
+    labels = {r.doc_id: r.quality for r in spark.read.parquet(f"{sf}/labels.parquet").collect()}
+    held = [(r.score, labels[r.doc_id], r.predicted) for r in Q.op1_quality_classifier(spark, sf).collect() if r.held_out and r.doc_id in labels]
+    good, bad = [s for s, y, _ in held if y == 1], [s for s, y, _ in held if y == 0]
+    above = sum((g > b) + 0.5 * (g == b) for g in good for b in bad) / (len(good) * len(bad))
+    right = sum(p == y for _, y, p in held) / len(held)
+    assert above >= 0.9 and right > max(len(good), len(bad)) / len(held)
+
+
 def simhash(text):
     ws = (text or "").encode().lower().split()
     if not ws:
@@ -154,3 +165,16 @@ def test_pipeline(spark, sf, docs):
     clean = P.STAGES[3][1](spark, spark.createDataFrame(list(cut.values()), near.schema), sf)
     assert clean.columns == near.columns and {r.doc_id for r in clean.collect()} <= set(cut)
     assert P.run(spark, sf).count() > 0
+
+
+def test_pipeline_stages(spark, sf, docs):
+    """What the near-duplicate and the decontamination stage keep, against all pairs and all windows."""
+    import corpus_pipeline as P
+    from layerloom.llm.simhash import shingle_set
+
+    table = spark.read.parquet(f"{sf}/documents.parquet")
+    prints, sets = {d: simhash(t) for d, t in docs.items()}, {d: set(shingle_set(t).tolist()) for d, t in docs.items()}
+    named = classes(docs, lambda a, b: (prints[a] ^ prints[b]).bit_count() <= 2 or len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b]))
+    assert {r.doc_id for r in P.STAGES[1][1](spark, table, sf).collect()} == {d for d in docs if named[d] == d}
+    hit = {r.doc_id for r in Q.op2_decontamination(spark, sf).where("contaminated").collect()}
+    assert hit and {r.doc_id for r in P.STAGES[3][1](spark, table, sf).collect()} == set(docs) - hit
