@@ -208,16 +208,16 @@ def _prefix_keys(texts: DataFrame, often, similarity: float) -> DataFrame:
 
 
 def _prefix_docs(texts: DataFrame, often, held, similarity: float) -> DataFrame:
-    """(did, r1, r2, n, keys, places, sketch): the documents that share shingles (keys, at places) of their prefix, by a hash of their shingle set.
+    """(did, r1, r2, n, keys, places, sketch, whole): the documents that share shingles (keys, at places) of their prefix, by a hash of their shingle set.
 
-    The sketch is the parity of the shingles that fall on each of its bits, so two sketches differ in no more bits than
-    their sets have different shingles."""
+    The sketches are the parity of the shingles that fall on each of their bits, so two of them differ in no more bits
+    than their sets have different shingles. The whole one has a bit for each shingle or more."""
     kind = texts.schema["did"].dataType.simpleString()
 
     def part(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         level = held.value
         for b in batches:
-            rows, ids, sizes, keys, places, sketches = [], [], [], [], [], []
+            rows, ids, sizes, keys, places, sketches, wholes = [], [], [], [], [], [], []
             for i, x in _sets(b):
                 shared = prefix(x, often.value, similarity)
                 at = np.flatnonzero(level.has(shared))
@@ -228,14 +228,33 @@ def _prefix_docs(texts: DataFrame, often, held, similarity: float) -> DataFrame:
                     ids.append(_identity(x))
                     sizes.append(len(x))
                     keys.append(shared.view(np.int64))
-                    sketches.append(np.packbits(np.bincount((x >> np.uint64(32)).astype(np.int64) % (64 * len(SKETCH)), minlength=64 * len(SKETCH)) & 1).tobytes())
+                    wholes.append(parities(x))
+                    sketches.append(_folded(wholes[-1], 8 * len(SKETCH)).tobytes())
             id_ = np.frombuffer(b"".join(ids), np.int64).reshape(-1, 2)
             sketch = np.frombuffer(b"".join(sketches), np.int64).reshape(-1, len(SKETCH))
             cut = pa.array(np.cumsum([0, *map(len, keys)]), pa.int32())
             lists = [pa.ListArray.from_arrays(cut, pa.array(np.concatenate([np.zeros(0, np.int64), *x]).astype(k))) for x, k in ((keys, np.int64), (places, np.int32))]
-            yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(rows, pa.int64())), pa.array(id_[:, 0]), pa.array(id_[:, 1]), pa.array(sizes, pa.int32()), *lists, *map(pa.array, sketch.T.copy())], names=["did", "r1", "r2", "n", "keys", "places", *SKETCH])
+            yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(rows, pa.int64())), pa.array(id_[:, 0]), pa.array(id_[:, 1]), pa.array(sizes, pa.int32()), *lists, *map(pa.array, sketch.T.copy()), pa.array([x.tobytes() for x in wholes], pa.binary())], names=["did", "r1", "r2", "n", "keys", "places", *SKETCH, "whole"])
 
-    return texts.select("did", "text").mapInArrow(trimmed(part), f"did {kind}, r1 long, r2 long, n int, keys array<long>, places array<int>, " + ", ".join(f"{x} long" for x in SKETCH))
+    return texts.select("did", "text").mapInArrow(trimmed(part), f"did {kind}, r1 long, r2 long, n int, keys array<long>, places array<int>, " + ", ".join(f"{x} long" for x in SKETCH) + ", whole binary")
+
+
+def parities(found: np.ndarray) -> np.ndarray:
+    """The parity of the shingles on each bit, in bytes: a power of two of bits, as many as shingles at least."""
+    bits = max(64 * len(SKETCH), 1 << (len(found) - 1).bit_length())
+    return np.packbits(np.bincount((found >> np.uint64(32)).astype(np.int64) % bits, minlength=bits) & 1)
+
+
+def _folded(sketch: np.ndarray, size: int) -> np.ndarray:
+    """The sketch of size bytes that a longer one holds."""
+    return np.bitwise_xor.reduce(sketch.reshape(-1, size), axis=0)
+
+
+def may_be_similar(a: np.ndarray, b: np.ndarray, shingles_: int, similarity: float) -> bool:
+    """Whether the parities of two sets, of so many shingles together, leave room for the similarity."""
+    size = min(len(a), len(b))
+    differ = int(np.bitwise_count(_folded(a, size) ^ _folded(b, size)).sum())
+    return differ * (1 + similarity) <= shingles_ * (1 - similarity) + 1e-9
 
 
 def _sets_named(texts: DataFrame, held) -> DataFrame:
@@ -276,7 +295,7 @@ def similar_links(docs: DataFrame, key: str = "doc_id", text: str = "text", simi
     held = _filter(shared, 5)
     release(shared)
     found = stored(_prefix_docs(texts, often, held, similarity), "prefix-docs")
-    rest = [F.first(c).alias(c) for c in ("n", "keys", "places", *SKETCH)]
+    rest = [F.first(c).alias(c) for c in ("n", "keys", "places", *SKETCH, "whole")]
     sets = stored(found.groupBy("r1", "r2").agg(F.min("did").alias("did"), *rest), "first-sets")
     equal = found.select("did", "r1", "r2").join(sets.select("r1", "r2", F.col("did").alias("v")), ["r1", "r2"]).where("did <> v").select(F.col("did").alias("u"), "v").distinct()
     equal = stored(equal, "equal-sets")
@@ -309,13 +328,28 @@ def similar_links(docs: DataFrame, key: str = "doc_id", text: str = "text", simi
 
 
 def _similar(pairs: DataFrame, sets: DataFrame, texts: DataFrame, similarity: float) -> DataFrame:
-    """Edges (u, v) of the pairs (r1, r2, o1, o2) of sets that reach the similarity."""
+    """Edges (u, v) of the pairs (r1, r2, o1, o2) of sets that reach the similarity.
+
+    Pairs are thinned out by short sketches, then by whole ones, a 64th of the sets or little more; only what is left of
+    them takes its sets through a shuffle."""
     kind = texts.schema["did"].dataType.simpleString()
     own = sets.select("r1", "r2", F.col("did").alias("u"), "n", *SKETCH)
     other = sets.select(F.col("r1").alias("o1"), F.col("r2").alias("o2"), F.col("did").alias("v"), F.col("n").alias("m"), *[F.col(x).alias(f"_{x}") for x in SKETCH])
     differ = sum((F.bit_count(F.col(x).bitwiseXOR(F.col(f"_{x}"))) for x in SKETCH), F.lit(0))
     fits = (F.least("n", "m") >= similarity * F.greatest("n", "m")) & (differ * (1 + similarity) <= (F.col("n") + F.col("m")) * (1 - similarity) + 1e-9)
-    near = stored(pairs.join(own, ["r1", "r2"]).join(other, ["o1", "o2"]).where(fits & (F.col("u") != F.col("v"))).select("r1", "r2", "o1", "o2", "u", "v"), "prefix-pairs")
+    short = stored(pairs.join(own, ["r1", "r2"]).join(other, ["o1", "o2"]).where(fits & (F.col("u") != F.col("v"))).select("r1", "r2", "o1", "o2", "u", "v", (F.col("n") + F.col("m")).alias("both")), "prefix-pairs")
+
+    def thinned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            both = zip(*(b.column(i).to_pylist() for i in (6, 7, 8)), strict=True)
+            keep = [may_be_similar(np.frombuffer(x, np.uint8), np.frombuffer(y, np.uint8), n, similarity) for n, x, y in both]
+            yield b.select(range(6)).filter(pa.array(keep, pa.bool_()))
+
+    whole = sets.select("r1", "r2", "whole")
+    sketched = short.join(whole, ["r1", "r2"]).join(whole.select(F.col("r1").alias("o1"), F.col("r2").alias("o2"), F.col("whole").alias("_whole")), ["o1", "o2"])
+    sketched = sketched.select("r1", "r2", "o1", "o2", "u", "v", "both", "whole", "_whole")
+    near = stored(sketched.mapInArrow(trimmed(thinned), f"r1 long, r2 long, o1 long, o2 long, u {kind}, v {kind}"), "sketched-pairs")
+    release(short)
     due = stored(near.select(F.col("r1").alias("h")).unionByName(near.select(F.col("o1").alias("h"))).distinct(), "pair-sets")
     named = stored(_sets_named(texts, _filter(due, 6)).groupBy("r1", "r2").agg(F.first("s").alias("s")), "sets")
     release(due)

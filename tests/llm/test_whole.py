@@ -2,6 +2,8 @@
 
 import random
 
+import numpy as np
+
 from layerloom.llm import components, simhash, substring_dedup
 
 
@@ -90,3 +92,35 @@ def test_similar_at_full_entries(spark):
             rows.append((2 * i + 1, text(template, own[:75], words(rng, 25))))
     got, want = similar_classes(spark, rows)
     assert len(set(want.values())) > 30 and got == want
+
+
+def test_similar_long_texts(spark, monkeypatch):
+    """Long texts with phrases in common two by two are ruled out by sketches; only near copies have their sets read."""
+    rng, rows, kept = random.Random(6), [], {}
+    phrases = {(i, j): words(rng, 40) for i in range(6) for j in range(i + 1, 6)}
+    for i in range(6):
+        own = [w for p, phrase in phrases.items() if i in p for w in phrase] + words(rng, 3000 + 10 * i)
+        rows.append((2 * i, text(own)))
+        if i % 3 == 0:
+            rows.append((2 * i + 1, text(own[:-100], words(rng, 100))))
+
+    def stored(df, name, real=simhash.stored):
+        out = real(df, name)
+        kept[name] = kept.get(name, 0) + out.count()
+        return out
+
+    monkeypatch.setattr(simhash, "stored", stored)
+    got, want = similar_classes(spark, rows)
+    assert got == want and len(set(want.values())) == 6
+    assert kept["pair-sets"] <= 8
+
+
+def test_sketches_bound_differences():
+    """Parities of any two sizes differ in no more bits than the sets do."""
+    rng = np.random.default_rng(8)
+    for n, m, both in ((5, 4, 3), (600, 500, 480), (1100, 1000, 990), (5000, 4000, 4000), (5000, 5000, 4444), (5000, 5000, 100)):
+        x = rng.integers(0, 1 << 64, n + m - both, dtype=np.uint64)
+        a, b = np.unique(x[:n]), np.unique(x[n - both :])
+        similar = both >= 0.8 * (n + m - both)
+        assert simhash.may_be_similar(simhash.parities(a), simhash.parities(b), n + m, 0.8) >= similar
+    assert not simhash.may_be_similar(simhash.parities(a), simhash.parities(b), n + m, 0.8)
