@@ -124,3 +124,48 @@ def test_sketches_bound_differences():
         similar = both >= 0.8 * (n + m - both)
         assert simhash.may_be_similar(simhash.parities(a), simhash.parities(b), n + m, 0.8) >= similar
     assert not simhash.may_be_similar(simhash.parities(a), simhash.parities(b), n + m, 0.8)
+
+
+def test_line_just_too_short(spark, monkeypatch):
+    """A line that is too short for a similar passage leads to pairs, but no shingles of them are moved."""
+    rng, rows, kept = random.Random(9), [], {}
+    line = words(rng, 44)
+    for i in range(30):
+        rows.append((2 * i, text(words(rng, 50), line, words(rng, 50 + i))))
+        if i % 10 == 0:
+            rows.append((2 * i + 1, text(rows[-1][1].split()[:-20], words(rng, 30))))
+
+    def stored(df, name, real=substring_dedup.stored):
+        out = real(df, name)
+        kept[name] = kept.get(name, 0) + out.count()
+        return out
+
+    monkeypatch.setattr(substring_dedup, "stored", stored)
+    assert classes(spark, rows) == {d: d - d % 2 for d, _ in rows}
+    assert kept["met-regions"] > 300 and kept.get("likely-pairs", kept["met-regions"]) < 30
+
+
+def test_short_hashes_lose_no_pair():
+    """What short hashes rule out has no similar passage by the shingles, repeated ones too, at any cut of the pieces."""
+    rng, met, out = np.random.default_rng(10), 0, 0
+    for _ in range(300):
+        few = rng.integers(0, 1 << 64, rng.choice((8, 40, 400)), dtype=np.uint64)
+        own = [few[rng.integers(0, len(few), n)] for n in rng.integers(10, 60, 2)]
+        a, b = (np.r_[x, few[: rng.integers(5, 30)], x[:9]] for x in own)
+        if rng.random() < 0.6:
+            b = a.copy()
+            b[rng.integers(0, len(b), rng.integers(0, 4))] = 1
+        i, j = rng.integers(0, 5, 2).tolist()
+        places = [{"shift": int(rng.integers(-3, 4)) if rng.random() < 0.3 else 0, "c": int(c)} for c in rng.integers(0, len(a), 3)]
+        found = substring_dedup._meets(a, b, places, 12, 0.8)
+        values = [np.r_[x, few] for x in (a, b)]  # a second pair behind it
+        sizes, begins = [np.array([len(x), len(few)]) for x in (a, b)], [np.array([k, 0]) for k in (i, j)]
+        column = lambda f: np.array([f(p) for p in places])
+        given = sizes, begins, np.zeros(3, np.int64), column(lambda p: p["shift"] + i - j), column(lambda p: p["c"] + i), 12, 0.8
+        whole = substring_dedup.may_meet(values, *given)
+        may = substring_dedup.may_meet([(x >> np.uint64(48)).astype(np.uint16) for x in values], *given)
+        assert may[0] >= whole[0] >= found and not may[1]
+        met, out = met + found, out + (not may[0])
+    assert 50 < met < 250 and out > 30
+    empty = np.zeros(0, np.int64)
+    assert not len(substring_dedup.may_meet([empty.astype(np.uint16)] * 2, [empty] * 2, [empty] * 2, empty, empty, empty, 12, 0.8))
