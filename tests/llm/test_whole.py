@@ -1,6 +1,7 @@
 """Whole results: what a cap on partners, places or members would lose."""
 
 import random
+import time
 
 import numpy as np
 
@@ -169,3 +170,38 @@ def test_short_hashes_lose_no_pair():
     assert 50 < met < 250 and out > 30
     empty = np.zeros(0, np.int64)
     assert not len(substring_dedup.may_meet([empty.astype(np.uint16)] * 2, [empty] * 2, [empty] * 2, empty, empty, empty, 12, 0.8))
+
+
+def shuffle_files(spark):
+    found = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles().iterator()
+    out = set()
+    while found.hasNext():
+        out.add(found.next().getName())
+    return {x for x in out if x.startswith("shuffle_")}
+
+
+def test_shingles_stay_and_shuffles_go(spark, monkeypatch):
+    """Shingles are stored once and not moved whole, and no step leaves shuffle files for the next ones."""
+    rng, rows, seen, left = random.Random(11), [], [], []
+    for i in range(12):
+        passage = words(rng, 60)
+        rows += [(2 * i, text(words(rng, 40), passage, words(rng, 40))), (2 * i + 1, text(words(rng, 40), passage, words(rng, 40)))]
+    before = shuffle_files(spark)
+
+    def stored(df, name, real=substring_dedup.stored):
+        out = real(df, name)
+        seen.extend([name] * ("seq" in out.columns))
+        end = time.time() + 10
+        while (now := shuffle_files(spark) - before) and time.time() < end:
+            time.sleep(0.1)
+        left.extend(now)
+        return out
+
+    monkeypatch.setattr(substring_dedup, "stored", stored)
+    setting = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    spark.conf.set(setting, "false")
+    links = substring_dedup.passage_links(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert spark.conf.get(setting) == "false"
+    spark.conf.unset(setting)
+    assert seen == ["passage-regions"] and not left
+    assert {tuple(sorted(x)) for x in links.collect()} == {(2 * i, 2 * i + 1) for i in range(12)}
