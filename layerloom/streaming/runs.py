@@ -22,9 +22,12 @@ def shared_folder(spark: SparkSession, name: str) -> str:
 
 
 def parquet_stream(spark: SparkSession, folder: str, name: str) -> DataFrame:
-    """New files called name in a folder of Parquet tables."""
-    schema = spark.read.parquet(f"{folder}/{name}").schema
-    return spark.readStream.schema(schema).option("pathGlobFilter", name).parquet(folder)
+    """The Parquet table called name in a folder as a stream: new files of that name, or new files below it if it is a folder."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{folder}/{name}")
+    reader = spark.readStream.schema(spark.read.parquet(f"{folder}/{name}").schema)
+    if path.getFileSystem(spark._jsc.hadoopConfiguration()).getFileStatus(path).isDirectory():
+        return reader.parquet(f"{folder}/{name}")
+    return reader.option("pathGlobFilter", name).parquet(folder)
 
 
 def follow_runs(events: DataFrame, out: str, checkpoint: str) -> None:

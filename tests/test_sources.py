@@ -42,6 +42,17 @@ def test_snapshots_in_batches(spark, tmp_path):
     assert spark.read.parquet(str(tmp_path / f"t/{last}")).count() == 3
 
 
+def test_streams_of_folders(spark, sf, tmp_path):
+    """Tables are one file or a folder of part files, beside others; both streams read all of either."""
+    from layerloom.plans.catalogue import QUERIES
+
+    for name in ("pages", "events"):
+        spark.read.parquet(f"{sf}/{name}.parquet").repartition(3).write.parquet(str(tmp_path / f"{name}.parquet"))
+    for name in ("incremental_stream", "stream_monitor"):
+        got, want = ({tuple(r) for r in QUERIES[name](spark, at).collect()} for at in (str(tmp_path), sf))
+        assert got and got == want
+
+
 def test_bad_bytes_and_folders(spark, tmp_path):
     """One bad byte costs no file, and folders named build or bin are sources as any other."""
     from layerloom.functions.paths import CODE_EXTENSIONS
