@@ -92,23 +92,25 @@ def fallback_summary(content: Column, doc: bool = False) -> Column:
 
 
 def keep_last_sections(text: Column, budget: int, chars_per_token: float = 3.0) -> Column:
-    """The last sections (from a line of two or three '#') that fit the budget, with a note of how many were left out."""
-    size = lambda x: F.greatest(F.lit(1).cast("long"), F.floor(F.length(x) / chars_per_token))
+    """The last sections (from a line of two or three '#') that fit the budget together, with a note of how many were left out.
+
+    Kept sections are measured as they are joined: rounded down one by one, they could fit while the whole text does not."""
+    size = lambda n: F.greatest(F.lit(1).cast("long"), F.floor(n / chars_per_token))
     parts = F.split(text, "\n(?=###?\\s)")
     most = int(budget * chars_per_token)
     kept = F.aggregate(
         F.reverse(parts),
-        F.struct(F.array().cast("array<string>").alias("out"), F.lit(0).cast("long").alias("used"), F.lit(False).alias("full")),
+        F.struct(F.array().cast("array<string>").alias("out"), F.lit(-1).cast("long").alias("used"), F.lit(False).alias("full")),
         lambda acc, x: F.when(
-            ~acc["full"] & (acc["used"] + size(x) <= budget),
-            F.struct(F.array_prepend(acc["out"], x).alias("out"), (acc["used"] + size(x)).alias("used"), F.lit(False).alias("full")),
+            ~acc["full"] & (size(acc["used"] + 1 + F.length(x)) <= budget),
+            F.struct(F.array_prepend(acc["out"], x).alias("out"), (acc["used"] + 1 + F.length(x)).alias("used"), F.lit(False).alias("full")),
         ).otherwise(F.struct(acc["out"].alias("out"), acc["used"].alias("used"), F.lit(True).alias("full"))),
         lambda acc: acc["out"],
     )
     cut = F.concat(F.substring(F.element_at(parts, -1), 1, most), F.lit("\n\n*[truncated]*"))
-    some = F.concat(F.when(F.size(kept) < F.size(parts), F.concat(F.lit("*["), F.size(parts) - F.size(kept), F.lit(" section(s) omitted]*\n\n"))).otherwise(""), strip(F.array_join(kept, "\n")))
+    some = F.concat(F.lit("*["), F.size(parts) - F.size(kept), F.lit(" section(s) omitted]*\n\n"), strip(F.array_join(kept, "\n")))
     hard = F.concat(F.substring(text, 1, most), F.lit("\n\n*[truncated: input too large]*"))
-    return F.when(size(text) <= budget, text).when(F.size(parts) <= 1, hard).when(F.size(kept) == 0, cut).otherwise(some)
+    return F.when(size(F.length(text)) <= budget, text).when(F.size(parts) <= 1, hard).when(F.size(kept) == 0, cut).otherwise(some)
 
 
 def keep_tail(text: Column, allowed_tokens: int, chars_per_token: float = 3.0, note: str = "*[truncated to fit context]*\n\n") -> Column:

@@ -2,6 +2,7 @@
 
 import fnmatch
 import random
+import re
 
 import pytest
 from pyspark.sql import functions as F
@@ -168,3 +169,22 @@ def test_errors_and_bytes(spark):
     rows = spark.createDataFrame([("Empty content", None, b"a\xffb"), ("bad key", "RateLimitError", b"\xe2\x82"), ("bad key", "ValueError", b""), ("HTTP 503", None, None)], "m string, k string, b binary")
     got = rows.select(retryable(F.col("m"), F.col("k")), decoded(F.col("b"))).collect()
     assert [tuple(r) for r in got] == [(True, "a\ufffdb"), (True, "\ufffd"), (False, ""), (True, None)]
+
+
+def test_last_sections_fit_together(spark):
+    """What is kept fits the budget as it is joined, whatever each section loses in rounding down."""
+
+    def kept(text, budget):
+        if len(text) // 3 <= budget:
+            return text
+        parts = re.split(r"\n(?=###?\s)", text)
+        if len(parts) == 1:
+            return text[: budget * 3] + "\n\n*[truncated: input too large]*"
+        for i in range(1, len(parts)):
+            if len("\n".join(parts[i:])) // 3 <= budget:
+                return f"*[{i} section(s) omitted]*\n\n" + "\n".join(parts[i:]).strip()
+        return parts[-1][: budget * 3] + "\n\n*[truncated]*"
+
+    texts = ["## A\n" + "x" * n + "\n### B\n" + "y" * m for n in range(8, 17) for m in range(8, 17)]
+    texts += ["\n".join(f"## {i}\n" + "z" * k for i in range(6)) for k in range(1, 12)] + ["", "w" * 40, "## A\n\n### B\n" + "v" * 40]
+    assert column(spark, texts, lambda x: M.keep_last_sections(x, 10)) == [kept(t, 10) for t in texts]
