@@ -619,9 +619,14 @@ def stale_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
 # Code, routing, streams
 
 
+#: Rows of part whose four files a task parses: few bytes, but much work, so the scan's own tasks would be too large.
+PARTS_A_TASK = 2500
+
+
 def _sources(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A small source file in each language for each part."""
-    p = table(spark, sf_dir, "part").select("p_partkey", F.initcap(F.regexp_replace("p_name", "[^a-zA-Z0-9]", "")).alias("n"), F.col("p_brand").alias("component"))
+    """A small source file in each language for each part, spread over tasks before texts are made."""
+    parts = table(spark, sf_dir, "part").select("p_partkey", "p_name", "p_brand")
+    p = parts.repartition(max(1, -(-parts.count() // PARTS_A_TASK))).select("p_partkey", F.initcap(F.regexp_replace("p_name", "[^a-zA-Z0-9]", "")).alias("n"), F.col("p_brand").alias("component"))
     n = F.col("n")
     texts = F.array(
         F.struct(F.lit(".py").alias("e"), F.concat(F.lit("import os\nclass "), n, F.lit("(Base):\n    size: int = 1\n    def run(self, x: int) -> int:\n        return x\n    def _hide(self): pass\n")).alias("t")),

@@ -1,8 +1,10 @@
 """What extractors show and hide."""
 
+import time
+
 import pytest
 
-from layerloom.functions.skeletons import cpp_skeleton, cpp_supplement, csharp_skeleton, python_skeleton, ts_skeleton
+from layerloom.functions.skeletons import cpp_skeleton, cpp_supplement, csharp_skeleton, extract, python_skeleton, ts_skeleton
 
 CASES = [
     (csharp_skeleton, "using System;\nusing A.B;\nclass X { }", ["using System;", "using A.B;", "class X {"], []),
@@ -47,3 +49,44 @@ def test_broken(extract, source):
 def test_enum_is_cut():
     text = csharp_skeleton("public enum E { " + ", ".join(f"V{i}" for i in range(3000)) + " }")
     assert text.endswith("/* ... */ }") and len(text) < 4100
+
+
+def test_work_is_spread(spark, tmp_path):
+    """A small file of many parts is parsed in several tasks, each part once."""
+    from pyspark.sql import functions as F
+
+    from layerloom.plans.catalogue import QUERIES
+
+    parts = spark.range(6000).selectExpr("id AS p_partkey", "concat('part n', id) AS p_name", "'Brand#1' AS p_brand")
+    parts.coalesce(1).write.parquet(str(tmp_path / "part.parquet"))
+    made = QUERIES["code_skeletons"](spark, str(tmp_path)).withColumn("task", F.spark_partition_id()).collect()
+    assert len({r.task for r in made}) >= 3
+    assert {r.rel for r in made} == {f"f{i}{e}" for i in range(6000) for e in (".py", ".cs", ".h", ".ts")} and len(made) == 24000
+
+
+def test_extract_odd_files(spark):
+    """Small files are looked up by text and extractor; large, null and nameless ones go their own ways."""
+    long = "".join(f"def go_{i}(x: int) -> int:\n    return x\n" for i in range(200))
+    both = "class A { };\nvoid A::hidden();\n" + "".join(f"int free_{i}(int x);\n" for i in range(20))
+    rows = [("c", "a.py", "def f(): pass", False), ("d", "b.PY", "def f(): pass", False), ("c", "a.ts", "def f(): pass", False), ("c", "l.py", long, False),
+            ("c", "n.py", None, False), ("c", None, "def f(): pass", False), ("c", "Makefile", "x", False), ("c", "h.cpp", both, None), ("c", "i.cpp", both, True)]
+    files = spark.createDataFrame(rows, "component string, rel string, content string, beside boolean").coalesce(1)
+    got = {(r.component, r.rel): r for r in extract(files, "beside").collect()}
+    assert set(got) == {("c", "a.py"), ("d", "b.PY"), ("c", "l.py"), ("c", "h.cpp"), ("c", "i.cpp")}
+    assert got["c", "a.py"].skeleton == got["d", "b.PY"].skeleton == "def f(): ..."
+    assert got["c", "l.py"].skeleton == python_skeleton(long) and got["c", "l.py"].tokens == len(python_skeleton(long)) // 4
+    assert got["c", "h.cpp"].skeleton == cpp_skeleton(both) and got["c", "i.cpp"].skeleton == cpp_supplement(both) and got["c", "i.cpp"].is_supplementary
+
+
+@pytest.mark.parametrize("skeleton, line", [(ts_skeleton, "export const k%d: number = 1;\n"), (cpp_skeleton, "int go_%d(int x);\n"), (python_skeleton, "import m%d\n")])
+def test_time_grows_with_the_file(skeleton, line):
+    """Four times the lines take about four times as long, not sixteen."""
+
+    def took(n):
+        text = "".join(line % i for i in range(n))
+        began = time.process_time()
+        assert len(skeleton(text).split("\n")) == n
+        return time.process_time() - began
+
+    took(100)
+    assert took(20000) < 9 * min(took(5000) for _ in range(3))
